@@ -22,14 +22,13 @@ def bucketed_interval_join(events: DataFrame, intervals: DataFrame, key: str, at
     containment is checked inside a bucket only. An open interval is exploded up to the last event day. Null keys or days
     match nothing; ``how="left"`` keeps events without a match, with nulls. ``intervals`` may not share column names with ``events`` other than ``key``.
     """
-    last = events.agg(F.max(at).alias("_last"))
+    last = F.lit(events.agg(F.max(at)).first()[0]).cast("date")
     iv = (
         intervals.where(F.col(key).isNotNull() & F.col(start).isNotNull())
-        .crossJoin(F.broadcast(last))  # one row
-        .withColumn("_to", F.least(F.coalesce(F.date_sub(F.col(end), 1), F.col("_last")), F.col("_last")))
+        .withColumn("_to", F.least(F.coalesce(F.date_sub(F.col(end), 1), last), last))
         .where(F.col("_to") >= F.col(start))
         .withColumn("_bucket", F.explode(F.sequence(day_bucket(F.col(start), width), day_bucket(F.col("_to"), width))))
-        .drop("_last", "_to")
+        .drop("_to")
     )
     iv = iv.withColumnsRenamed({key: "_key", "_bucket": "_slot"})
     ev = events if how == "left" else events.where(F.col(key).isNotNull() & F.col(at).isNotNull())
