@@ -80,9 +80,9 @@ def as_known_at(events: DataFrame, versions: DataFrame, *, event_id: str, key: s
     valid with today's knowledge. Ties go to the latest valid_from, then known_at, then version. No version: 0.
 
     Every event with a key, ``at`` and ``known_by`` comes out once; events lacking one of them come out with nulls.
-    Repeated event ids are one event. Extra columns of either side play no part.
+    Repeated event ids are one event if they agree, null ids none. Extra columns of either side play no part.
     """
-    e = events.select(F.col(event_id).alias("event_id"), F.col(key).alias("k"), F.col(at).cast("date").alias("at"), F.col(known_by).alias("known_by"))
+    e = events.where(F.col(event_id).isNotNull()).select(F.col(event_id).alias("event_id"), F.col(key).alias("k"), F.col(at).cast("date").alias("at"), F.col(known_by).alias("known_by"))
     j = bucketed_interval_join(e, version_extents(versions, key, valid_from, known_at, version), "k", "at", "vf", "ve", width)
     rank = F.struct("vf", "ka", "vid")
     best = j.groupBy("event_id").agg(F.max(F.when(F.col("ka") <= F.col("known_by"), rank))["vid"].alias("a"), F.max(rank)["vid"].alias("b"))
