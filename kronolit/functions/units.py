@@ -42,8 +42,8 @@ def _first(text: Column, words: dict[str, list[str]]) -> Column:
 
 
 def price_unit(text: Column) -> Column:
-    """The unit that a currency field or a piece of a note names; null if none. A bare "kr" is SEK."""
-    return _first(text, PRICE_WORDS)
+    """The unit that a currency field or a piece of a note names; null if none. A bare "kr" is SEK, GBp (with a small p) pence."""
+    return F.when(text.rlike(r"(?<!\p{L})GBp(?!\p{L})"), "GBX").otherwise(_first(text, PRICE_WORDS))
 
 
 def mcap_unit(text: Column) -> Column:
@@ -69,7 +69,7 @@ def stated_number(text: Column) -> Column:
     t = F.regexp_replace(raw, r"[\s   ]+|[.,\s]+$", "")
     whole = F.regexp_replace(F.regexp_replace(t, r"[.,](\d{1,2})$", ""), r"[.,]", "")
     part = F.regexp_extract(t, r"[.,](\d{1,2})$", 1)
-    return F.concat(whole, F.lit("."), part, F.lit("0")).try_cast("double")
+    return F.when(raw != "", F.concat(whole, F.lit("."), part, F.lit("0")).try_cast("double"))
 
 
 # Cyrillic and Greek letters in the shape of Latin ones, and what they look like.

@@ -78,6 +78,6 @@ def bootstrap_interval(df: DataFrame, cell: str, value: str, order: str, draws:
                 yield pd.DataFrame({"cell": c, "draw": np.arange(draws), "s": s, "w": w})
 
     kind = dict(x.dtypes)["cell"]
-    sums = x.mapInPandas(partial, f"cell {kind}, draw int, s double, w double").groupBy("cell", "draw").agg((F.sum("s") / F.sum("w")).alias("m"))
+    sums = x.mapInPandas(partial, f"cell {kind}, draw int, s double, w double").groupBy("cell", "draw").agg(F.try_divide(F.sum("s"), F.sum("w")).alias("m"))
     tail = (1 - level) / 2
     return sums.groupBy("cell").agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"))

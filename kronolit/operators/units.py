@@ -13,20 +13,23 @@ from kronolit.functions.units import UNITS, is_share, mcap_unit, note_unit, pric
 from kronolit.operators.intervals import bucketed_interval_join
 
 #: Segmentation of log ratios: spread of a true ratio, most that one point can cost, penalty of a changepoint, cost of assuming a unit that nobody stated.
-SIGMA, CAP, PENALTY, UNSTATED = 0.08, 60.0, 6.0, {"SEK": 0.0, "ORE": 1.0, "TSEK": 1.0, "MSEK": 1.0, "BSEK": 1.0, "MEUR": 1.5, "MUSD": 1.5, "EUR": 6.0, "USD": 6.0, "GBP": 6.0, "GBX": 6.0, "CHF": 6.0, "DKK": 8.0}
+SIGMA, CAP, PENALTY, UNSTATED = 0.08, 25.0, 6.0, {"SEK": 0.0, "ORE": 1.0, "TSEK": 1.0, "MSEK": 1.0, "BSEK": 1.0, "MEUR": 1.5, "MUSD": 1.5, "EUR": 6.0, "USD": 6.0, "GBP": 6.0, "GBX": 6.0, "CHF": 6.0, "DKK": 8.0}
 
 
-def segment_levels(y: np.ndarray, levels: np.ndarray, prior: np.ndarray, block: np.ndarray, sigma: float = SIGMA, cap: float = CAP, penalty: float = PENALTY) -> np.ndarray:
+def segment_levels(y: np.ndarray, levels: np.ndarray, prior: np.ndarray, block: np.ndarray, sigma: float = SIGMA, cap: float = CAP, penalty: float = PENALTY, wide: float | None = None) -> np.ndarray:
     """Exact penalised changepoint search with segment levels from a known set.
 
     ``y``: n log ratios in order; ``levels``: n x m, the log level of each known factor at each point; ``prior``: n x m, what
     a factor costs a point beyond its misfit; ``block``: history of each point. Returns the index of the level of each point
     under the segmentation of least total cost: misfit (at most ``cap`` a point) + prior + ``penalty`` a changepoint.
     The recursion is exact over all segmentations (every level at every point, O(n m)); histories are independent.
-    Column 0 must be the level that a history starts from.
+    Column 0 is the level that a history starts from and the only one that a point may have which fits none.
     """
     n, m = levels.shape
-    cost = np.minimum(((y[:, None] - levels) / sigma) ** 2 / 2, cap) + prior
+    off = (y[:, None] - levels) ** 2 / 2
+    misfit = off / sigma**2 if wide is None else np.minimum(off / sigma**2, cap / 2 + off / wide**2)
+    misfit[:, 1:][misfit[:, 1:] >= cap] = 1e9
+    cost = np.minimum(misfit, np.where(np.arange(m) == 0, cap, 1e9)) + prior
     best = cost.argmin(axis=1)
     # Where leaving the point on level 0 saves more than two changepoints against every other level, all best paths pass it.
     rest = cost[:, 1:].min(axis=1) if m > 1 else np.full(n, np.inf)
@@ -58,14 +61,15 @@ def segment_levels(y: np.ndarray, levels: np.ndarray, prior: np.ndarray, block:
     return out
 
 
-def _segmenter(units: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _segmenter(units: list[str], sigma: float, wide: float | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Rows kind, id, value, day, block, y (log of value over reference; null: the word stands), stated, firm, fx_*: the unit.
 
     A history that spans two batches is cut there, which spares it the penalty of one changepoint at most.
     """
     scale = np.array([UNITS[u][0] for u in units])
     money = [UNITS[u][1] for u in units]
-    fee = np.array([UNSTATED.get(u, 8.0) for u in units])
+    fee = np.array([UNSTATED.get(u, 1e9) for u in units])
+    place = {u: i for i, u in enumerate(units)}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -75,36 +79,31 @@ def _segmenter(units: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[
             factor = np.ones((n, len(units))) * scale
             for i, c in enumerate(money):
                 if c:
-                    factor[:, i] *= np.nan_to_num(pdf[f"fx_{c}"].to_numpy(dtype=float), nan=np.nan)
+                    factor[:, i] *= pdf[f"fx_{c}"].to_numpy(dtype=float)
             stated = pdf["stated"].to_numpy()
-            place = {u: i for i, u in enumerate(units)}
             s = np.array([place.get(u, 0) for u in stated])
             own = factor[np.arange(n), s]
-            # levels relative to the unit as stated, which takes column 0; a price of v in unit u is worth v * factor(u)
-            order = np.argsort(np.where(np.arange(len(units))[None, :] == s[:, None], -1, np.arange(len(units))[None, :]), axis=1)
-            level = np.log(own[:, None] / np.take_along_axis(factor, order, axis=1))
+            # column 0: the unit as stated; then each unit, whatever was stated. A price of v in unit u is worth v * factor(u).
+            level = np.concatenate((np.zeros((n, 1)), np.log(own[:, None] / factor)), axis=1)
+            prior = np.concatenate((np.zeros((n, 1)), fee + np.where(pdf["firm"].to_numpy(dtype=bool), 6.0, 0.0)[:, None]), axis=1)
+            prior[np.arange(n), s + 1] = 1e9
             level = np.where(np.isfinite(level), level, 1e6)
-            level[:, 0] = 0.0
-            prior = fee[order]
-            prior[:, 0] = 0.0
-            prior[:, 1:] += np.where(pdf["firm"].to_numpy(dtype=bool), 6.0, 0.0)[:, None]
             y = pdf["y"].to_numpy(dtype=float) + np.log(own)
             known = np.isfinite(y)
             got = np.zeros(n, dtype=np.int64)
             if known.any():
                 k = np.flatnonzero(known)
-                got[k] = segment_levels(y[k], level[k], prior[k], pd.factorize(pdf["block"].to_numpy()[k])[0])
-            unit = np.array(units, dtype=object)[order[np.arange(n), got]]
-            out = pdf[["kind", "id", "value", "day"]].assign(unit=np.where(got == 0, np.where(pd.isna(stated), "SEK", stated), unit))
+                got[k] = segment_levels(y[k], level[k], prior[k], pd.factorize(pdf["block"].to_numpy()[k])[0], sigma=sigma, wide=wide)
+            out = pdf[["kind", "id", "value", "day"]].assign(unit=np.where(got == 0, stated, np.array(units, dtype=object)[got - 1]))
             yield pd.concat([out, pdf[[f"fx_{c}" for c in CURRENCIES]]], axis=1)
 
     return run
 
 
-def daily_rates(fx: DataFrame, until_days: int = 14) -> DataFrame:
+def daily_rates(fx: DataFrame, until_days: int = 1100) -> DataFrame:
     """One row a calendar day with a map of currency to the last rate on or before it, at most ``until_days`` old.
 
-    Size: days x currencies of the rate table, which the test data fix; repeated rows are averaged away by max.
+    Size: days x currencies of the rate table, which the test data fix; of repeated rows of a day the greatest rate counts.
     """
     f = fx.where(F.col("rate").isNotNull() & (F.col("rate") > 0) & F.col("currency").isNotNull() & F.col("fx_date").isNotNull()).groupBy("currency", "fx_date").agg(F.max("rate").alias("rate"))
     nxt = F.lead("fx_date").over(Window.partitionBy("currency").orderBy("fx_date"))
@@ -140,7 +139,7 @@ def price_units(txns: DataFrame, points: DataFrame, fx: DataFrame) -> DataFrame:
     The day is trade_date, else the day of published_at. The unit is what a note says of the present price, else what currency
     names, else SEK. A share's price is further held against the issuer's price_used: the log ratios of a history (issuer and
     month) are segmented and a level shift by a known factor reverses the unit. Where no reference is near, the word stands.
-    A zero, negative or NaN price keeps its stated unit. Rates missing for 14 days give a null sek. Extra columns are ignored.
+    A zero, negative or NaN price keeps its stated unit. The last rate on or before the day counts; days before the first rate or three years after the last give a null sek. Extra columns are ignored.
     """
     t = txns.where(F.col("price").isNotNull()).select(
         F.lit("price").alias("kind"), F.col("row_id").alias("id"), "issuer_key", F.col("price").alias("value"),
@@ -149,7 +148,7 @@ def price_units(txns: DataFrame, points: DataFrame, fx: DataFrame) -> DataFrame:
     )
     t = t.withColumn("stated", F.coalesce("noted", "named", F.lit("SEK"))).withColumn("firm", F.coalesce(F.col("noted").isNotNull() | (F.col("named") != "SEK"), F.lit(False))).drop("noted", "named")
     t = bucketed_interval_join(t, reference_prices(points), "issuer_key", "day", "rf", "rt", how="left")
-    return _judged(t.withColumn("ref", F.when(F.col("share"), F.col("ref_price"))), fx, PRICE_UNITS)
+    return _judged(t.withColumn("ref", F.when(F.col("share"), F.col("ref_price"))), fx, PRICE_UNITS, SIGMA, None)
 
 
 def mcap_units(points: DataFrame, fx: DataFrame) -> DataFrame:
@@ -160,10 +159,10 @@ def mcap_units(points: DataFrame, fx: DataFrame) -> DataFrame:
     the issuer's nearest earlier point, else its nearest later one.
     """
     w = Window.partitionBy("issuer_key").orderBy("as_of_day", "point_id")
-    shares = F.when((F.col("shares") > 0) & F.col("issuer_key").isNotNull(), F.col("shares"))
+    shares = F.when((F.col("shares") > 0) & ~F.isnan("shares") & F.col("issuer_key").isNotNull(), F.col("shares"))
     before = F.last(shares, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     after = F.first(shares, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    p = points.withColumn("_ref", F.coalesce(before, after) * F.when(F.col("price_used") > 0, F.col("price_used"))).where(F.col("mcap_sek").isNotNull())
+    p = points.withColumn("_ref", F.coalesce(before, after) * F.when((F.col("price_used") > 0) & ~F.isnan("price_used"), F.col("price_used"))).where(F.col("mcap_sek").isNotNull())
     value, number = F.col("mcap_sek"), stated_number(F.col("mcap_text"))
     p = p.withColumn("_field", mcap_unit(F.col("mcap_unit"))).withColumn("_text", mcap_unit(F.col("mcap_text")))
     scale = F.create_map(*[x for u in MCAP_UNITS for x in (F.lit(u), F.lit(UNITS[u][0]))])
@@ -174,15 +173,15 @@ def mcap_units(points: DataFrame, fx: DataFrame) -> DataFrame:
         F.lit("mcap").alias("kind"), F.col("point_id").alias("id"), "issuer_key", value.alias("value"), F.col("as_of_day").alias("day"),
         F.when(word, F.col("_field")).otherwise(F.coalesce(guess, "_field", F.lit("SEK"))).alias("stated"), F.lit(False).alias("firm"), F.when(~word, F.col("_ref")).alias("ref"),
     )
-    return _judged(t, fx, MCAP_UNITS)
+    return _judged(t, fx, MCAP_UNITS, 0.01, 0.2)
 
 
-def _judged(t: DataFrame, fx: DataFrame, units: list[str]) -> DataFrame:
+def _judged(t: DataFrame, fx: DataFrame, units: list[str], sigma: float, wide: float | None) -> DataFrame:
     """t: kind, id, issuer_key, value, day, stated, firm, ref (SEK the value should be worth; null: the word stands)."""
     t = with_rates(t, "day", fx, CURRENCIES)
     t = t.withColumn("y", F.log(F.when((F.col("value") > 0) & ~F.isnan("value"), F.col("value")) / F.col("ref")))
     t = t.select("kind", "id", "value", "day", F.concat_ws("|", "issuer_key", F.date_format("day", "yyyy-MM")).alias("block"), "y", "stated", "firm", *[f"fx_{c}" for c in CURRENCIES])
     t = t.repartition("block").sortWithinPartitions("block", "day", "id")
-    out = t.mapInPandas(_segmenter(units), "kind string, id long, value double, day date, unit string, " + ", ".join(f"fx_{c} double" for c in CURRENCIES))
+    out = t.mapInPandas(_segmenter(units, sigma, wide), "kind string, id long, value double, day date, unit string, " + ", ".join(f"fx_{c} double" for c in CURRENCIES))
     pairs = [x for u in units for x in (F.lit(u), F.lit(UNITS[u][0]) * (F.col(f"fx_{UNITS[u][1]}") if UNITS[u][1] else F.lit(1.0)))]
     return out.select("kind", "id", "value", "day", "unit", (F.col("value") * F.create_map(*pairs)[F.col("unit")]).alias("sek"))
