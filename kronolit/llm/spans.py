@@ -168,6 +168,10 @@ def _linker(span: int, gram: int, limit: int) -> Callable[[Iterator[pd.DataFrame
         for s in range(max(0, l - side), min(l, len(x) - span) + 1):
             yield ("span", c, None, l - s, side - (l - s)), x[s : s + span]
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        df = pd.DataFrame(rows, columns=["kind", "x", "y", "a", "b", "text"], dtype=object)
+        return df.astype({"x": "Int64", "y": "Int64", "a": "Int64", "b": "Int64"})  # never through floats, which would round ids
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, group, big, out = None, [], False, []
 
@@ -191,11 +195,11 @@ def _linker(span: int, gram: int, limit: int) -> Callable[[Iterator[pd.DataFrame
                             out.extend((*p, w) for p, w in spans(r))
                         group = []
             if out:
-                yield pd.DataFrame(out, columns=["kind", "x", "y", "a", "b", "text"])
+                yield frame(out)
                 out.clear()
         flush()
         if out:
-            yield pd.DataFrame(out, columns=["kind", "x", "y", "a", "b", "text"])
+            yield frame(out)
 
     return run
 
@@ -211,13 +215,13 @@ class SharedSpans:
     not compared but counted by exact span. Both ways are exact. 5. A class is covered from its farthest agreement on the
     left to that on the right; the union of covered ranges of a text is exactly its shared part.
 
-    Null texts and texts shorter than ``span`` share nothing. Repeated ids of one text are one record.
+    Null texts and texts shorter than ``span`` share nothing, rows without an id neither. Repeated ids of one text are one record.
     """
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, limit: int = GROUP) -> None:
         side, half = span - gram, (span - gram + 1) // 2
         base = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-        long = base.where(F.length("text") >= span).withColumn("tid", F.xxhash64("text"))
+        long = base.where(F.col("doc").isNotNull() & (F.length("text") >= span)).withColumn("tid", F.xxhash64("text"))
         self.lengths = base.select("doc", F.length("text").alias("n_chars"))
         self.members = long.select("tid", "doc", F.length("text").alias("n")).distinct()
         rows = long.select("tid", "text").mapInArrow(_anchor_rows(span, gram), "hash long, tid long, pos int")
@@ -235,10 +239,10 @@ class SharedSpans:
         order = halves.repartition("hash", "half").sortWithinPartitions("hash", "half", "cls").select("hash", "half", "cls", "l", "ctx", "t0", "t1")
         links = checkpointed(order.mapInPandas(_linker(span, gram, limit), "kind string, x long, y long, a int, b int, text string"))
         counted = links.where("kind = 'span'").withColumn("key", F.xxhash64("text", "a")).select("key", "x", "a", "b").distinct()
-        more = counted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        self.counted = counted.join(more, "key")
         self.links = links.where("kind = 'pair'").select("x", "y", "a", "b")
         self.classes = cls.select("cls", "l", (F.length("ctx") - F.col("l") - gram).alias("r"), "t0", "t1")
+        texts = counted.join(self.classes.select(F.col("cls").alias("x"), "t0", "t1"), "x").groupBy("key").agg(F.min("t0").alias("lo"), F.max("t1").alias("hi"))
+        self.counted = counted.join(texts.where("lo < hi").select("key"), "key")
         self.gram, self.span = gram, span
 
     def text_pairs(self) -> DataFrame:
