@@ -63,3 +63,15 @@ def period_returns(bars: DataFrame, key: str, day: str, close: str) -> DataFrame
     m = bars.where(F.col(close) > 0).groupBy(F.col(key).alias("key"), F.trunc(F.col(day).cast("date"), "MM").alias("month")).agg(F.max(F.struct(F.col(day).alias("d"), F.col(close).alias("c")))["c"].alias("c"))
     prev = F.lag("c").over(Window.partitionBy("key").orderBy("month"))
     return m.select("key", "month", (F.col("c") / prev - 1).alias("ret"))
+
+
+def shifted_events(events: DataFrame, bench: DataFrame, event_day: str, by: int, day: str = "day", close: str = "close") -> DataFrame:
+    """``events`` moved ``by`` sessions (negative: earlier) along the benchmark's calendar, from the last session on or before their day; events that
+    leave the calendar are left out. The calendar has one row a session and is broadcast."""
+    cal = sessions(bench, day, close)
+    span = cal.select("n", F.col("day").alias("_from"), F.lead("day").over(Window.partitionBy(F.lit(0)).orderBy("day")).alias("_to"))
+    to = cal.select((F.col("n") - by).alias("n"), F.col("day").alias("_moved"))
+    place = span.join(to, "n").select("_from", "_to", "_moved")
+    days = events.select(F.col(event_day).cast("date").alias("_d")).where(F.col("_d").isNotNull()).distinct()
+    moved = days.join(F.broadcast(place), (F.col("_d") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("_d") < F.col("_to")))).select("_d", "_moved")
+    return events.join(moved, F.col(event_day).cast("date") == F.col("_d")).withColumn(event_day, F.col("_moved")).drop("_d", "_moved")

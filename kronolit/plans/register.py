@@ -269,7 +269,7 @@ QUERIES = {
 
 _VISIBLE = """
 WITH r AS (SELECT *, min(CASE WHEN is_amendment THEN published_at END) OVER (PARTITION BY issuer_key, name_key, trade_date ORDER BY published_at, row_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS visible_until,
-    min(published_at) OVER (PARTITION BY issuer_key, name_key, trade_date) AS first_published FROM register_txns)
+    CASE WHEN published_at IS NOT NULL THEN min(published_at) OVER (PARTITION BY issuer_key, name_key, trade_date) END AS first_published FROM register_txns)
 """
 _COOLED = """
 WITH RECURSIVE days AS (SELECT DISTINCT issuer_key, CAST(published_at AS DATE) AS day FROM register_txns WHERE published_at IS NOT NULL),
