@@ -132,7 +132,9 @@ def keys(p: dict) -> list[str]:
                 a, b = t[i], t[j]
                 if i < j:
                     out.add("|".join(sorted((code(a), code(b)))))
-                out.update((f"{code(a)}|{b[:4]}<", f"{code(a)}|>{b[-4:]}", f"{code(a)}|{b[:1]}", f"{code(a)}|>{b[-2:]}"))
+                out.update((f"{code(a)}|{b[:4]}<", f"{code(a)}|>{b[-4:]}"))
+                if len(a) >= len(b):  # the longer token tells more, so the shorter one may be hardly legible
+                    out.update((f"{code(a)}|{b[:1]}", f"{code(a)}|>{b[-2:]}"))
     return sorted(out)
 
 
