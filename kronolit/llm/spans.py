@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +16,9 @@ from kronolit.session import checkpointed
 
 #: Characters of a shared span, and of the window whose hash is counted (a token is a character).
 SPAN, GRAM = 160, 64
-#: Different surroundings of one repeated window that are compared pair by pair; beyond it, exact spans are counted instead.
+#: Keys by which surroundings meet: each demands all but 1/STEPS of the characters that a span needs beside its window.
+STEPS = 8
+#: Different surroundings under one key that are compared pair by pair; beyond it, exact spans are counted instead.
 GROUP = 64
 #: Base of the Rabin-Karp polynomial modulo 2^64 (odd, so that it has an inverse), and the longest stretch hashed at once.
 BASE = 0x9E3779B97F4A7C15
@@ -147,8 +150,8 @@ def common(a: str, b: str) -> int:
 
 
 def _linker(span: int, gram: int, limit: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Rows in order of hash and half: surroundings (cls, l, ctx, t0, t1) that agree in half of what a span needs. Emits links
-    x, y with the equal characters left and right of the window, or, from a group beyond ``limit``, each exact span (y null)."""
+    """Rows in order of key: surroundings (cls, l, ctx, t0, t1) that agree in nearly what a span needs. Emits links x, y with
+    the equal characters left and right of the window, or, from a group beyond ``limit``, each exact span by its hash (y null)."""
     side = span - gram
 
     def pairs(group: list[tuple]) -> Iterator[tuple]:
@@ -166,11 +169,11 @@ def _linker(span: int, gram: int, limit: int) -> Callable[[Iterator[pd.DataFrame
     def spans(row: tuple) -> Iterator[tuple]:
         c, l, x, _, _ = row
         for s in range(max(0, l - side), min(l, len(x) - span) + 1):
-            yield ("span", c, None, l - s, side - (l - s)), x[s : s + span]
+            yield ("span", c, None, l - s, side - (l - s)), xxhash.xxh3_64_intdigest(x[s : s + span].encode("utf-8", "surrogatepass")) - (1 << 63)
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
-        df = pd.DataFrame(rows, columns=["kind", "x", "y", "a", "b", "text"], dtype=object)
-        return df.astype({"x": "Int64", "y": "Int64", "a": "Int64", "b": "Int64"})  # never through floats, which would round ids
+        df = pd.DataFrame(rows, columns=["kind", "x", "y", "a", "b", "span"], dtype=object)
+        return df.astype({"x": "Int64", "y": "Int64", "a": "Int64", "b": "Int64", "span": "Int64"})  # never through floats, which would round ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, group, big, out = None, [], False, []
@@ -180,10 +183,10 @@ def _linker(span: int, gram: int, limit: int) -> Callable[[Iterator[pd.DataFrame
                 out.extend((*p, None) for p in pairs(group))
 
         for pdf in batches:
-            for h, half, c, l, x, t0, t1 in zip(pdf["hash"], pdf["half"], pdf["cls"], pdf["l"], pdf["ctx"], pdf["t0"], pdf["t1"], strict=True):
-                if (h, half) != key:
+            for k, c, l, x, t0, t1 in zip(pdf["key"], pdf["cls"], pdf["l"], pdf["ctx"], pdf["t0"], pdf["t1"], strict=True):
+                if k != key:
                     flush()
-                    key, group, big = (h, half), [], False
+                    key, group, big = k, [], False
                 row = (c, l, x, t0, t1)
                 if big:
                     out.extend((*p, w) for p, w in spans(row))
@@ -211,15 +214,17 @@ class SharedSpans:
     hashes of every window of ``gram`` characters; ``anchors`` keeps those that must be shared if a span is. 3. They are
     brought together by hash and those in one text only are dropped, in a sorted pass that holds no group. 4. What stands
     around a repeated window (span - gram characters on either side) decides: equal surroundings are one class; classes
-    that agree in half of the missing characters on one side are compared; groups of more than ``limit`` such classes are
-    not compared but counted by exact span. Both ways are exact. 5. A class is covered from its farthest agreement on the
+    that agree in nearly all of the missing characters (``STEPS`` keys, one for each way to divide them between the sides)
+    are compared; groups of more than ``limit`` such classes are not compared but counted by exact span. Both ways are exact,
+    and a phrase of many documents that is too short for a span brings nothing together. 5. A class is covered from its farthest agreement on the
     left to that on the right; the union of covered ranges of a text is exactly its shared part.
 
     Null texts and texts shorter than ``span`` share nothing, rows without an id neither. Repeated ids of one text are one record.
     """
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM, limit: int = GROUP) -> None:
-        side, half = span - gram, (span - gram + 1) // 2
+        side = span - gram
+        step = max(1, -(-side // STEPS))
         base = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
         long = base.where(F.col("doc").isNotNull() & (F.length("text") >= span)).withColumn("tid", F.xxhash64("text"))
         self.lengths = base.select("doc", F.length("text").alias("n_chars"))
@@ -233,14 +238,20 @@ class SharedSpans:
         around = around.withColumn("cls", F.xxhash64("hash", "l", "ctx"))
         self.around = around = checkpointed(around)
         cls = around.groupBy("hash", "cls").agg(F.min("l").alias("l"), F.min("ctx").alias("ctx"), F.min("tid").alias("t0"), F.max("tid").alias("t1"))
-        left = F.when(F.col("l") >= half, F.xxhash64(F.lit("l"), F.col("ctx").substr(F.col("l") - half + 1, F.lit(half))))
-        right = F.when(F.length("ctx") - F.col("l") - gram >= half, F.xxhash64(F.lit("r"), F.col("ctx").substr(F.col("l") + gram + 1, F.lit(half))))
-        halves = cls.withColumn("half", F.explode(F.array_compact(F.array(left, right))))
-        order = halves.repartition("hash", "half").sortWithinPartitions("hash", "half", "cls").select("hash", "half", "cls", "l", "ctx", "t0", "t1")
-        links = checkpointed(order.mapInPandas(_linker(span, gram, limit), "kind string, x long, y long, a int, b int, text string"))
-        counted = links.where("kind = 'span'").withColumn("key", F.xxhash64("text", "a")).select("key", "x", "a", "b").distinct()
+        # agreement of b characters on the right, b from r on, needs side - b on the left: of each step one hashed key
+        right, keys = F.length("ctx") - F.col("l") - gram, []
+        for r in range(0, side, step):
+            need = max(0, side - r - step + 1) if r + step < side else 0
+            keys.append(F.when((F.col("l") >= need) & (right >= r), F.xxhash64("hash", F.lit(r), F.col("ctx").substr(F.col("l") - need + 1, F.lit(need + gram + r)))))
+        cls = checkpointed(cls)
+        asked = cls.select(F.explode(F.array_compact(F.array(*keys))).alias("hash"), F.col("cls").alias("tid"), F.lit(0).alias("pos"))
+        met = asked.repartition("hash").sortWithinPartitions("hash", "tid").mapInPandas(_repeated, "hash long, tid long, pos int").distinct()
+        order = met.select(F.col("hash").alias("key"), F.col("tid").alias("cls")).join(cls.select("cls", "l", "ctx", "t0", "t1"), "cls")
+        order = order.repartition("key").sortWithinPartitions("key", "cls")
+        links = checkpointed(order.mapInPandas(_linker(span, gram, limit), "kind string, x long, y long, a int, b int, span long"))
+        counted = links.where("kind = 'span'").select(F.xxhash64("span", "a").alias("key"), "x", "a", "b").distinct()
         self.links = links.where("kind = 'pair'").select("x", "y", "a", "b")
-        self.classes = cls.select("cls", "l", (F.length("ctx") - F.col("l") - gram).alias("r"), "t0", "t1")
+        self.classes = cls.select("cls", "l", right.alias("r"), "t0", "t1")
         texts = counted.join(self.classes.select(F.col("cls").alias("x"), "t0", "t1"), "x").groupBy("key").agg(F.min("t0").alias("lo"), F.max("t1").alias("hi"))
         self.counted = counted.join(texts.where("lo < hi").select("key"), "key")
         self.gram, self.span = gram, span
