@@ -76,11 +76,11 @@ def _detector(least: int, days: int, gap: int, lookback: int):  # noqa: ANN202
             nonlocal seen, ended, waiting
             if not waiting:
                 return
-            seen = sorted([*seen, *waiting])
-            waiting = []
             now = at.toordinal()
-            seen = [r for r in seen if r[0] >= now - lookback]
-            rows = [r for r in seen if ended is None or r[0] >= ended + gap]
+            # rows before the next possible anchor are never needed again, so what stays has too few persons in every window
+            low = now - lookback if ended is None else max(now - lookback, ended + gap)
+            rows = seen = sorted(r for r in (*seen, *waiting) if r[0] >= low)
+            waiting = []
             if len({p for _, p in rows}) < least:
                 return
             a = find_window(rows, least, days)
@@ -121,8 +121,8 @@ def detect_episodes(rows: DataFrame, key: str, who: str, day: str, visible: str,
 
     Instants are processed in order of ``visible``; at each, the rows of the last ``lookback`` days that are visible then are
     searched for the earliest window; a new episode's anchor lies ``gap`` days or more after the end of the last window.
-    Repeated (key, person, day) count from their first visibility, so the state of a key is its persons x days of one
-    lookback; rows stream through in order and a key's rows are never gathered. Keys that never have ``least`` persons in a
+    Repeated (key, person, day) count from their first visibility. Rows stream through in order; kept are only those of one
+    lookback that come after the last window and form none, which are fewer than ``least`` persons in any window. Keys that never have ``least`` persons in a
     window are dropped before (``window_distinct``). Nulls in any of the four columns are left out.
     """
     r = rows.select(F.col(key).alias("k"), F.col(who).alias("p"), F.col(day).cast("date").alias("d"), F.col(visible).alias("t")).dropna()

@@ -47,7 +47,7 @@ def windowed_counts(stream: DataFrame, at: str, key: str, width: str = "30 days"
 def stream_episodes(stream: DataFrame, key: str, who: str, day: str, visible: str, least: int = 3, days: int = 30, gap: int = 31, lookback: int = 365) -> DataFrame:
     """key, as_of, anchor, n_persons of each episode, emitted when it is found and never withdrawn (append mode).
 
-    The state of a key is the (person, day) pairs of the last ``lookback`` days and the end of its last episode. Rows of a
+    The state of a key is the end of its last episode and the (person, day) pairs of the last ``lookback`` days after it. Rows of a
     micro-batch are taken in order of ``visible``; rows that arrive in a later batch although visible earlier are taken when
     they arrive, with that batch's order, as an observer would have.
     """
@@ -61,8 +61,8 @@ def stream_episodes(stream: DataFrame, key: str, who: str, day: str, visible: st
         for t, part in rows.groupby("t", sort=True):
             now = t.date().toordinal()
             seen |= {(d.toordinal(), p) for d, p in zip(part["d"], part["p"], strict=True)}
-            seen = {(d, p) for d, p in seen if d >= now - lookback}
-            open_ = sorted((d, p) for d, p in seen if ended is None or d >= ended + gap)
+            seen = {(d, p) for d, p in seen if d >= now - lookback and (ended is None or d >= ended + gap)}
+            open_ = sorted(seen)
             a = find_window(open_, least, days) if len({p for _, p in open_}) >= least else None
             if a is not None:
                 ended = a + days
