@@ -19,18 +19,20 @@ def bucketed_interval_join(events: DataFrame, intervals: DataFrame, key: str, at
     """Each event with every interval of its ``key`` that contains ``at``: ``start <= at < end`` (dates; ``end`` null: open).
 
     Both sides meet in an equi-join on (key, bucket of ``width`` days), so a hot key is spread over its buckets and the
-    containment is checked inside a bucket only. An open interval is exploded up to the last event day. Null keys or days
+    containment is checked inside a bucket only. Intervals are exploded from the first event day to the last, which one aggregate tells. Null keys or days
     match nothing; ``how="left"`` keeps events without a match, with nulls. ``intervals`` may not share column names with ``events`` other than ``key``.
     """
-    last = F.lit(events.agg(F.max(at)).first()[0]).cast("date")
+    first, last = (F.lit(x).cast("date") for x in events.agg(F.min(at), F.max(at)).first())
     iv = (
         intervals.where(F.col(key).isNotNull() & F.col(start).isNotNull())
+        .withColumn("_from", F.greatest(F.col(start), first))
         .withColumn("_to", F.least(F.coalesce(F.date_sub(F.col(end), 1), last), last))
-        .where(F.col("_to") >= F.col(start))
-        .withColumn("_bucket", F.explode(F.sequence(day_bucket(F.col(start), width), day_bucket(F.col("_to"), width))))
-        .drop("_to")
+        .where(F.col("_to") >= F.col("_from"))
+        .withColumn("_bucket", F.explode(F.sequence(day_bucket(F.col("_from"), width), day_bucket(F.col("_to"), width))))
+        .drop("_from", "_to")
     )
-    iv = iv.withColumnsRenamed({key: "_key", "_bucket": "_slot"})
+    # the planner sees the size before the explosion and would broadcast what the explosion makes large
+    iv = iv.withColumnsRenamed({key: "_key", "_bucket": "_slot"}).hint("merge")
     ev = events if how == "left" else events.where(F.col(key).isNotNull() & F.col(at).isNotNull())
     ev = ev.withColumn("_bucket", day_bucket(F.col(at), width))
     inside = (F.col(at) >= F.col(start)) & (F.col(end).isNull() | (F.col(at) < F.col(end)))
