@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right, insort
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
