@@ -10,6 +10,7 @@ from kronolit.operators import relational as rel
 from kronolit.operators.asof import asof_backward, nearest_peer
 from kronolit.operators.identity import apply_rules, merge_rules
 from kronolit.operators.returns import event_returns, shifted_events
+from kronolit.operators.segments import factor_at, scale_segments
 from kronolit.operators.sequence import cooldown
 from kronolit.operators.stats import t_clustered, t_iid
 from kronolit.session import table
@@ -102,6 +103,23 @@ def price_agreement(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(j.groupBy("issuer_key").agg(F.count("*").alias("n_trades"), F.avg("inside").alias("share_all"), F.avg(F.when(F.col("n") <= 20, F.col("inside"))).alias("share_recent")))
 
 
+def _ratios(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "register_txns").where("currency = 'SEK' and price > 0").select("issuer_key", "trade_date", "price")
+    j = asof_backward(t, table(spark, d, "mcap_points").where("price_used > 0"), key="issuer_key", left_on="trade_date", right_on="as_of_day", values=["price_used"], max_age=40)
+    return j.select("issuer_key", "trade_date", (F.col("price") / F.col("price_used")).alias("ratio"))
+
+
+def price_scale_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Stretches in which an issuer's trades stand at one multiple of its reference price."""
+    return _rounded(scale_segments(_ratios(spark, d), "issuer_key", "trade_date", "ratio"))
+
+
+def trade_scales(spark: SparkSession, d: str) -> DataFrame:
+    """The scale of each filing's day."""
+    seg = scale_segments(_ratios(spark, d), "issuer_key", "trade_date", "ratio")
+    return _rounded(factor_at(table(spark, d, "register_txns").select("row_id", "issuer_key", "trade_date"), seg, "issuer_key", "trade_date").select("row_id", "factor"))
+
+
 def share_growth(spark: SparkSession, d: str) -> DataFrame:
     """Share counts against the point 180 to 700 days older that is nearest to a year (the earlier on a tie)."""
     s = table(spark, d, "mcap_points").where("shares > 0 and issuer_key is not null").groupBy("issuer_key", "as_of_day").agg(F.max("shares").alias("shares"))
@@ -162,7 +180,7 @@ def last_order_at_event(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        brand_bars, brand_benchmark, brand_events, brand_event_returns, brand_placebo_returns, brand_excess, brand_excess_clustered, brand_status_counts, matched_control, price_agreement, share_growth, trade_rhythm, person_rules, ruled_persons,
+        brand_bars, brand_benchmark, brand_events, brand_event_returns, brand_placebo_returns, brand_excess, brand_excess_clustered, brand_status_counts, matched_control, price_agreement, price_scale_segments, trade_scales, share_growth, trade_rhythm, person_rules, ruled_persons,
         pricing_summary, region_year_totals, event_sessions, last_order_at_event,
     )
 }
