@@ -67,15 +67,32 @@ def band_exists(left: DataFrame, right: DataFrame, *, keys: list[str], left_on:
 
 def nearest_peer(events: DataFrame, pool: DataFrame, *, event_id: str, entity: str, at: str, size: str) -> DataFrame:
     """event_id, peer, distance: of the pool rows of the event's day whose size is within a factor of two, the one of another
-    entity whose log size is nearest; ties go to the lower entity. A band is a power of two of the size, so the event meets its
-    own band and its neighbours, never a day's whole pool.
+    entity whose log size is nearest; ties go to the lower entity.
 
-    Sizes that are null, NaN or not positive are no sizes. One row per event that has a peer.
+    No pair is formed. Events and pool are sorted by size inside (day, band), a band being a power of two to whose neighbours
+    the pool is copied. A running window hands each event the pool row before it and, should that be of the event's own
+    entity, the last one before that of another; the same downwards. Sizes that are null, NaN or not positive are no sizes.
+    One row per event that has a peer.
     """
     ok = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.col(c) > 0)
     band = F.floor(F.log2(F.col(size))).cast("int")
-    e = events.where(ok(size)).select(F.col(event_id).alias("event_id"), F.col(entity).alias("_e"), F.col(at).alias("_at"), F.log(F.col(size)).alias("_x"), F.explode(F.array(band - 1, band, band + 1)).alias("_band"))
-    p = pool.where(ok(size)).select(F.col(entity).alias("peer"), F.col(at).alias("_pat"), F.log(F.col(size)).alias("_y"), band.alias("_pband")).distinct()
-    j = e.join(p, (F.col("_at") == F.col("_pat")) & (F.col("_band") == F.col("_pband")) & (F.col("_e") != F.col("peer")) & (F.abs(F.col("_x") - F.col("_y")) <= math.log(2)))
-    best = j.groupBy("event_id").agg(F.min(F.struct(F.abs(F.col("_x") - F.col("_y")).alias("distance"), "peer")).alias("b"))
-    return best.select("event_id", "b.peer", "b.distance")
+    p = pool.where(ok(size) & F.col(entity).isNotNull() & F.col(at).isNotNull()).select(F.col(at).alias("at"), F.col(entity).alias("e"), F.log(F.col(size)).alias("y"), band.alias("b")).distinct()
+    p = p.withColumn("b", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)))
+    ev = events.where(ok(size) & F.col(entity).isNotNull() & F.col(at).isNotNull()).select(F.col(event_id).alias("event_id"), F.col(at).alias("at"), F.col(entity).alias("e"), F.log(F.col(size)).alias("y"), band.alias("b"))
+    both = p.withColumn("pool", F.lit(True)).withColumn("event_id", F.lit(None).cast(dict(ev.dtypes)["event_id"])).unionByName(ev.withColumn("pool", F.lit(False)))
+
+    def beside(df: DataFrame, up: bool, name: str) -> DataFrame:
+        """The nearest pool row of another entity at or below (``up``) or above the event, as a struct of size and entity."""
+        size_order, pool_order = (F.asc("y"), F.desc("pool")) if up else (F.desc("y"), F.asc("pool"))
+        w = Window.partitionBy("at", "b").orderBy(size_order, pool_order, F.desc("e"))
+        so_far = w.rowsBetween(Window.unboundedPreceding, -1)
+        here = F.when(F.col("pool"), F.struct("y", "e"))
+        df = df.withColumn("_last", F.last(here, ignorenulls=True).over(so_far))
+        df = df.withColumn("_turn", F.when(F.col("pool") & (F.col("_last.e") != F.col("e")), F.col("_last")))
+        df = df.withColumn("_other", F.last("_turn", ignorenulls=True).over(so_far))
+        return df.withColumn(name, F.when(F.col("_last.e") != F.col("e"), F.col("_last")).otherwise(F.col("_other"))).drop("_last", "_turn", "_other")
+
+    near = beside(beside(both, True, "lo"), False, "hi").where(~F.col("pool"))
+    d = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("y") - F.col(f"{c}.y")).alias("distance"), F.col(f"{c}.e").alias("peer")))
+    best = near.select("event_id", F.least(d("lo"), d("hi")).alias("x")).where(F.col("x").isNotNull() & (F.col("x.distance") <= math.log(2)))
+    return best.groupBy("event_id").agg(F.min("x").alias("x")).select("event_id", "x.peer", "x.distance")

@@ -136,3 +136,23 @@ def test_statistics(spark):
     a, b = (sorted(tuple(r) for r in bootstrap_interval(x, "cell", "x", "i", draws=50).collect()) for x in (df, df.repartition(3)))
     assert [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in a] == [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in b]
     assert a[0][1] < 0.2 < a[0][2]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_nearest_peer(spark, seed):
+    import math
+
+    from kronolit.operators.asof import nearest_peer
+
+    r = random.Random(seed)
+    size = lambda: r.choice([None, 0.0, -1.0, float("nan"), *[float(r.randint(1, 40)) for _ in range(12)]])
+    rows = [(i, r.choice(["a", "b", "c", "d", None]), r.choice([day(1), day(2), None]), size()) for i in range(80)]
+    df = spark.createDataFrame(rows, "i int, k string, d date, s double")
+    good = [(i, k, d, math.log(s)) for i, k, d, s in rows if None not in (k, d, s) and s > 0]
+    want = {}
+    for i, k, d, x in good:
+        c = [(abs(x - y), kk) for _, kk, dd, y in good if dd == d and kk != k and abs(x - y) <= math.log(2) + 1e-12]
+        if c:
+            want[i] = min((round(a, 9), b) for a, b in c)
+    got = {x["event_id"]: (round(x["distance"], 9), x["peer"]) for x in nearest_peer(df, df, event_id="i", entity="k", at="d", size="s").collect()}
+    assert got == want
