@@ -67,7 +67,14 @@ def find_window(rows: list[tuple], least: int, days: int) -> int | None:
     return None
 
 
-def _detector(least: int, days: int, gap: int, lookback: int):  # noqa: ANN202
+def episode_end(anchor: int, last: int, days: int, end: str) -> int:
+    """The day from which the gap to the next episode counts: the ``last`` day acted on in the window, or the ``window``'s own end."""
+    if end not in ("last", "window"):
+        raise ValueError(f"end must be 'last' or 'window', got {end!r}")
+    return last if end == "last" else anchor + days
+
+
+def _detector(least: int, days: int, gap: int, lookback: int, end: str):  # noqa: ANN202
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, seen, ended, at, waiting = None, [], None, None, []
         out: list[tuple] = []
@@ -87,8 +94,9 @@ def _detector(least: int, days: int, gap: int, lookback: int):  # noqa: ANN202
             if a is None:
                 return
             inside = [r for r in rows if a <= r[0] <= a + days]
-            ended = a + days
-            out.append((key, at, a, len({p for _, p in inside}), now - max(d for d, _ in inside)))
+            last = max(d for d, _ in inside)
+            ended = episode_end(a, last, days, end)
+            out.append((key, at, a, len({p for _, p in inside}), now - last))
 
         for pdf in batches:
             for k, t, d, p in zip(pdf["k"], pdf["t"], pdf["d"], pdf["p"], strict=True):
@@ -115,23 +123,24 @@ def _episodes(out: list[tuple]) -> pd.DataFrame:
     return df
 
 
-def detect_episodes(rows: DataFrame, key: str, who: str, day: str, visible: str, least: int = 3, days: int = 30, gap: int = 31, lookback: int = 365) -> DataFrame:
+def detect_episodes(rows: DataFrame, key: str, who: str, day: str, visible: str, least: int = 3, days: int = 30, gap: int = 31, lookback: int = 365, end: str = "window") -> DataFrame:
     """key, as_of, anchor, n_persons, staleness: one row per episode of ``least`` persons acting within ``days`` days, at the
     instant when enough of them had become visible.
 
     Instants are processed in order of ``visible``; at each, the rows of the last ``lookback`` days that are visible then are
-    searched for the earliest window; a new episode's anchor lies ``gap`` days or more after the end of the last window.
+    searched for the earliest window; a new episode's anchor lies ``gap`` days or more after the end of the last episode. That
+    end is the last day inside the found window (``end="last"``, the reference's rule) or anchor + ``days`` (``end="window"``).
     Repeated (key, person, day) count from their first visibility. Rows stream through in order; kept are only those of one
-    lookback that come after the last window and form none, which are fewer than ``least`` persons in any window. Keys that never have ``least`` persons in a
-    window are dropped before (``window_distinct``). Nulls in any of the four columns are left out.
+    lookback that come after the last window and form none, which are fewer than ``least`` persons in any window. Keys with fewer
+    than ``least`` persons in all are dropped before. Nulls in any of the four columns are left out.
     """
     r = rows.select(F.col(key).alias("k"), F.col(who).alias("p"), F.col(day).cast("date").alias("d"), F.col(visible).alias("t")).dropna()
     r = r.groupBy("k", "p", "d").agg(F.min("t").alias("t"))
-    able = window_distinct(r, "k", "p", "d", days, least).select("k").distinct()
+    able = r.select("k", "p").distinct().groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("k")
     r = r.join(able, "k", "left_semi")
     tt = dict(r.dtypes)["t"]
     kt = dict(r.dtypes)["k"]
-    got = r.repartition("k").sortWithinPartitions("k", "t", "d", "p").select("k", "t", "d", "p").mapInPandas(_detector(least, days, gap, lookback), f"k {kt}, as_of {tt}, anchor date, n_persons int, staleness int")
+    got = r.repartition("k").sortWithinPartitions("k", "t", "d", "p").select("k", "t", "d", "p").mapInPandas(_detector(least, days, gap, lookback, end), f"k {kt}, as_of {tt}, anchor date, n_persons int, staleness int")
     return got.withColumnRenamed("k", key)
 
 

@@ -159,7 +159,7 @@ def crowded_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def crowd_episodes(spark: SparkSession, d: str) -> DataFrame:
-    return detect_episodes(_txns(spark, d), "issuer_key", "name_key", "trade_date", "published_at")
+    return detect_episodes(_txns(spark, d), "issuer_key", "name_key", "trade_date", "published_at", end="last")
 
 
 def revision_links(spark: SparkSession, d: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kronolit.operators.changes import newest_first
-from kronolit.operators.sequence import find_window
+from kronolit.operators.sequence import episode_end, find_window
 
 
 def stream_changes(stream: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
@@ -44,12 +44,12 @@ def windowed_counts(stream: DataFrame, at: str, key: str, width: str = "30 days"
     return t.groupBy(F.window("_t", width).alias("w"), F.col(key).alias("key")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "key", "n")
 
 
-def stream_episodes(stream: DataFrame, key: str, who: str, day: str, visible: str, least: int = 3, days: int = 30, gap: int = 31, lookback: int = 365) -> DataFrame:
+def stream_episodes(stream: DataFrame, key: str, who: str, day: str, visible: str, least: int = 3, days: int = 30, gap: int = 31, lookback: int = 365, end: str = "window") -> DataFrame:
     """key, as_of, anchor, n_persons of each episode, emitted when it is found and never withdrawn (append mode).
 
     The state of a key is the end of its last episode and the (person, day) pairs of the last ``lookback`` days after it. Rows of a
     micro-batch are taken in order of ``visible``; rows that arrive in a later batch although visible earlier are taken when
-    they arrive, with that batch's order, as an observer would have.
+    they arrive, with that batch's order, as an observer would have. ``end`` as in ``detect_episodes``.
     """
     s = stream.select(F.col(key).alias("k"), F.col(who).alias("p"), F.col(day).cast("date").alias("d"), F.col(visible).cast("timestamp").alias("t")).dropna()
 
@@ -65,8 +65,9 @@ def stream_episodes(stream: DataFrame, key: str, who: str, day: str, visible: st
             open_ = sorted(seen)
             a = find_window(open_, least, days) if len({p for _, p in open_}) >= least else None
             if a is not None:
-                ended = a + days
-                out.append((k[0], t, pd.Timestamp.fromordinal(a).date(), len({p for d, p in open_ if a <= d <= a + days})))
+                inside = [r for r in open_ if a <= r[0] <= a + days]
+                ended = episode_end(a, max(d for d, _ in inside), days, end)
+                out.append((k[0], t, pd.Timestamp.fromordinal(a).date(), len({p for _, p in inside})))
         order = sorted(seen)
         state.update((ended, [d for d, _ in order], [p for _, p in order]))
         yield pd.DataFrame(out, columns=["k", "as_of", "anchor", "n_persons"])
