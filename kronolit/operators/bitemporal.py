@@ -57,32 +57,36 @@ def _link_groups(weights: list[float]):  # noqa: ANN202
 
         def close() -> None:
             taken: set = set()
-            for i, (rid, published, amends, values) in enumerate(group):
+            for i, (rid, published, amends, _, values) in enumerate(group):
                 if not amends:
                     continue
                 best = None
                 for j in range(i - 1, -1, -1):
-                    oid, before, _, other = group[j]
+                    oid, before, _, least, other = group[j]
                     if oid in taken or not before < published:
                         continue
                     score = sum(w for w, a, b in zip(weights, values, other, strict=True) if a is not None and a == b)
+                    if score < least:
+                        continue
                     if best is None or score > best[0]:
-                        best = (score, oid, False)
+                        best = (score, oid, False, before, False)
                     elif score == best[0]:
-                        best = (best[0], best[1], True)
-                if best is not None:
+                        best = (*best[:2], True, best[3], best[4] or before == best[3])
+                if best is not None and not best[4]:
                     taken.add(best[1])
                     out.append((rid, best[1], float(best[0]), best[2]))
+                elif best is not None:
+                    out.append((rid, None, float(best[0]), True))
                 else:
                     out.append((rid, None, 0.0, False))
 
         for pdf in batches:
             values = list(zip(*[pdf[c] for c in pdf.columns if c.startswith("v")], strict=True)) or [()] * len(pdf)
-            for k, rid, t, a, v in zip(pdf["k"], pdf["rid"], pdf["t"], pdf["a"], values, strict=True):
+            for k, rid, t, a, m, v in zip(pdf["k"], pdf["rid"], pdf["t"], pdf["a"], pdf["m"], values, strict=True):
                 if k != key:
                     close()
                     key, group = k, []
-                group.append((rid, t, a, tuple(None if pd.isna(x) else x for x in v)))
+                group.append((rid, t, a, m, tuple(None if pd.isna(x) else x for x in v)))
             if out:
                 yield pd.DataFrame(out, columns=["row_id", "linked_to", "score", "ambiguous"]).astype({"linked_to": "Int64"})
                 out = []
@@ -93,17 +97,18 @@ def _link_groups(weights: list[float]):  # noqa: ANN202
     return run
 
 
-def link_revisions(rows: DataFrame, keys: list[str], published: str, amendment: str, row_id: str, weights: dict[str, float]) -> DataFrame:
+def link_revisions(rows: DataFrame, keys: list[str], published: str, amendment: str, row_id: str, weights: dict[str, float], least: Column | None = None) -> DataFrame:
     """row_id, linked_to, score, ambiguous of every amendment: the earlier row of its keys that it replaces, one to one.
 
     Amendments are taken in order of publication; each takes, of the rows published strictly before it that none has taken,
     the one with the greatest sum of weights of equal columns (null equals nothing); a tie goes to the latest and is marked.
-    Without a candidate linked_to is null. Null keys are equal. Only rows whose keys have an amendment take part; copies of a
+    A tie in publication too is marked, links nothing and takes no row. ``least``: the sum that a row demands of the amendment
+    that is to replace it (default and null: 0). Without a candidate linked_to is null. Null keys are equal. Only rows whose keys have an amendment take part; copies of a
     row differ in row_id. What is held is the rows of one key, here one person's filings for one day of one issuer.
     """
     k = F.struct(*keys)
     pool = rows.where(F.col(published).isNotNull() & F.col(row_id).isNotNull()).withColumn("k", F.sha2(F.to_json(k, {"ignoreNullFields": "false"}), 256))
     pool = pool.join(pool.where(F.col(amendment)).select("k").distinct(), "k", "left_semi")
     cols = [F.col(c).cast("string").alias(f"v{i}") for i, c in enumerate(weights)]
-    lean = pool.select("k", F.col(row_id).alias("rid"), F.col(published).alias("t"), F.coalesce(F.col(amendment), F.lit(False)).alias("a"), *cols)
+    lean = pool.select("k", F.col(row_id).alias("rid"), F.col(published).alias("t"), F.coalesce(F.col(amendment), F.lit(False)).alias("a"), F.coalesce(F.lit(0.0) if least is None else least.cast("double"), F.lit(0.0)).alias("m"), *cols)
     return lean.repartition("k").sortWithinPartitions("k", "t", "rid").mapInPandas(_link_groups(list(weights.values())), "row_id long, linked_to long, score double, ambiguous boolean")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kronolit.functions.parsing import ascii_fold, is_entity, isin_valid, lei_valid, name_key
@@ -162,9 +162,14 @@ def crowd_episodes(spark: SparkSession, d: str) -> DataFrame:
     return detect_episodes(_txns(spark, d), "issuer_key", "name_key", "trade_date", "published_at", end="last")
 
 
+def _least_score() -> Column:
+    """A row that still stands as current asks for more than one marked as revised (MIN_SCORE_STALE, MIN_SCORE of the reference)."""
+    return F.when(F.col("status_raw").isin("Aktuell", "Current"), 5.0).otherwise(2.0)
+
+
 def revision_links(spark: SparkSession, d: str) -> DataFrame:
     w = {"isin": 3.0, "instrument_name": 2.0, "nature_raw": 2.0, "volume": 2.0, "price": 2.0, "venue_raw": 1.0, "role_raw": 0.5, "notifier_name": 0.5}
-    return link_revisions(_txns(spark, d), KEYS, "published_at", "is_amendment", "row_id", w)
+    return link_revisions(_txns(spark, d), KEYS, "published_at", "is_amendment", "row_id", w, _least_score())
 
 
 def _splits(points: DataFrame) -> DataFrame:
