@@ -51,12 +51,16 @@ def with_visibility(rows: DataFrame, keys: list[str], published: str, amendment:
     return rows.withColumn("visible_from", start).withColumn("visible_until", until)
 
 
+LINK = ["row_id", "linked_to", "score", "ambiguous", "published", "first"]
+
+
 def _link_groups(weights: list[float]):  # noqa: ANN202
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, group, out = None, [], []
 
         def close() -> None:
             taken: set = set()
+            first: dict = {}
             for i, (rid, published, amends, _, values) in enumerate(group):
                 if not amends:
                     continue
@@ -74,11 +78,12 @@ def _link_groups(weights: list[float]):  # noqa: ANN202
                         best = (*best[:2], True, best[3], best[4] or before == best[3])
                 if best is not None and not best[4]:
                     taken.add(best[1])
-                    out.append((rid, best[1], float(best[0]), best[2]))
+                    first[rid] = first.get(best[1], best[3])
+                    out.append((rid, best[1], float(best[0]), best[2], published, first[rid]))
                 elif best is not None:
-                    out.append((rid, None, float(best[0]), True))
+                    out.append((rid, None, float(best[0]), True, published, published))
                 else:
-                    out.append((rid, None, 0.0, False))
+                    out.append((rid, None, 0.0, False, published, published))
 
         for pdf in batches:
             values = list(zip(*[pdf[c] for c in pdf.columns if c.startswith("v")], strict=True)) or [()] * len(pdf)
@@ -88,11 +93,11 @@ def _link_groups(weights: list[float]):  # noqa: ANN202
                     key, group = k, []
                 group.append((rid, t, a, m, tuple(None if pd.isna(x) else x for x in v)))
             if out:
-                yield pd.DataFrame(out, columns=["row_id", "linked_to", "score", "ambiguous"]).astype({"linked_to": "Int64"})
+                yield pd.DataFrame(out, columns=LINK).astype({"linked_to": "Int64"})
                 out = []
         close()
         if out:
-            yield pd.DataFrame(out, columns=["row_id", "linked_to", "score", "ambiguous"]).astype({"linked_to": "Int64"})
+            yield pd.DataFrame(out, columns=LINK).astype({"linked_to": "Int64"})
 
     return run
 
@@ -106,9 +111,41 @@ def link_revisions(rows: DataFrame, keys: list[str], published: str, amendment:
     that is to replace it (default and null: 0). Without a candidate linked_to is null. Null keys are equal. Only rows whose keys have an amendment take part; copies of a
     row differ in row_id. What is held is the rows of one key, here one person's filings for one day of one issuer.
     """
+    return _links(rows, keys, published, amendment, row_id, weights, least).select(*LINK[:4])
+
+
+def _links(rows: DataFrame, keys: list[str], published: str, amendment: str, row_id: str, weights: dict[str, float], least: Column | None) -> DataFrame:
+    """``link_revisions`` with the publication of the amendment and of the first row of its chain."""
     k = F.struct(*keys)
     pool = rows.where(F.col(published).isNotNull() & F.col(row_id).isNotNull()).withColumn("k", F.sha2(F.to_json(k, {"ignoreNullFields": "false"}), 256))
     pool = pool.join(pool.where(F.col(amendment)).select("k").distinct(), "k", "left_semi")
     cols = [F.col(c).cast("string").alias(f"v{i}") for i, c in enumerate(weights)]
     lean = pool.select("k", F.col(row_id).alias("rid"), F.col(published).alias("t"), F.coalesce(F.col(amendment), F.lit(False)).alias("a"), F.coalesce(F.lit(0.0) if least is None else least.cast("double"), F.lit(0.0)).alias("m"), *cols)
-    return lean.repartition("k").sortWithinPartitions("k", "t", "rid").mapInPandas(_link_groups(list(weights.values())), "row_id long, linked_to long, score double, ambiguous boolean")
+    tt = dict(lean.dtypes)["t"]
+    return lean.repartition("k").sortWithinPartitions("k", "t", "rid").mapInPandas(_link_groups(list(weights.values())), f"row_id long, linked_to long, score double, ambiguous boolean, published {tt}, first {tt}")
+
+
+def with_linked_visibility(rows: DataFrame, keys: list[str], published: str, amendment: str, row_id: str, weights: dict[str, float], least: Column | None = None, revised: Column | None = None, person: list[str] | None = None, first_publication: bool = False) -> DataFrame:
+    """``rows`` with visible_from and visible_until: a row is superseded when the one amendment that ``link_revisions`` links to
+    it is published; all other rows of its keys stay visible.
+
+    ``revised``: rows known to have been replaced. Those that no amendment links to end with the next amendment of the
+    ``person`` (key columns; a null is no person), and are never visible without one. ``first_publication``: visible from the
+    first row of their chain. Rows without a publication time are never visible and supersede nothing. ``row_id`` is unique.
+    """
+    links = _links(rows, keys, published, amendment, row_id, weights, least)
+    until = links.where(F.col("linked_to").isNotNull()).select(F.col("linked_to").alias("_id"), F.col("published").alias("visible_until"))
+    out = rows.join(until, F.col(row_id) == F.col("_id"), "left").drop("_id")
+    if revised is not None:
+        # instants are numbered backwards, so that the frame of what is later grows from row to row and leaves equal instants out
+        at = out.withColumn("_nth", F.dense_rank().over(Window.partitionBy(*person).orderBy(F.desc(published))))
+        later = F.min(F.when(F.col(amendment), F.col(published))).over(Window.partitionBy(*person).orderBy("_nth").rangeBetween(Window.unboundedPreceding, -1))
+        known = F.lit(True)
+        for c in person:
+            known = known & F.col(c).isNotNull()
+        orphan = F.coalesce(revised, F.lit(False)) & F.col("visible_until").isNull()
+        out = at.withColumn("_later", later).withColumn("visible_until", F.when(orphan, F.coalesce(F.when(known, F.col("_later")), F.col(published))).otherwise(F.col("visible_until"))).drop("_nth", "_later")
+    if not first_publication:
+        return out.withColumn("visible_from", F.col(published))
+    first = links.select(F.col("row_id").alias("_id"), F.col("first").alias("_first"))
+    return out.join(first, F.col(row_id) == F.col("_id"), "left").withColumn("visible_from", F.coalesce("_first", published)).drop("_id", "_first")

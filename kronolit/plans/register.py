@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kronolit.functions.parsing import ascii_fold, is_entity, isin_valid, lei_valid, name_key
 from kronolit.operators import relational as rel
 from kronolit.operators.asof import asof_backward, asof_forward, band_exists, nearest_peer
-from kronolit.operators.bitemporal import Register, link_revisions, with_visibility
+from kronolit.operators.bitemporal import Register, link_revisions, with_linked_visibility, with_visibility
 from kronolit.operators.returns import event_returns, period_returns
 from kronolit.operators.sequence import cooldown, detect_episodes, factor_after, occurrence_ids, replace_window, window_distinct
 from kronolit.operators.stats import bootstrap_interval, calendar_time, t_clustered, t_iid, t_two_way
@@ -16,6 +16,7 @@ from kronolit.session import table
 from kronolit.sources.register import canonical_rows
 
 KEYS = ["issuer_key", "name_key", "trade_date"]
+LINK_WEIGHTS = {"isin": 3.0, "instrument_name": 2.0, "nature_raw": 2.0, "volume": 2.0, "price": 2.0, "venue_raw": 1.0, "role_raw": 0.5, "notifier_name": 0.5}
 AS_OF = "2025-06-30 12:00:00"
 FILING = ["issuer_key", "pdmr_name", "trade_date", "nature_raw", "instrument_name", "volume", "price", "published_at"]
 
@@ -168,8 +169,7 @@ def _least_score() -> Column:
 
 
 def revision_links(spark: SparkSession, d: str) -> DataFrame:
-    w = {"isin": 3.0, "instrument_name": 2.0, "nature_raw": 2.0, "volume": 2.0, "price": 2.0, "venue_raw": 1.0, "role_raw": 0.5, "notifier_name": 0.5}
-    return link_revisions(_txns(spark, d), KEYS, "published_at", "is_amendment", "row_id", w, _least_score())
+    return link_revisions(_txns(spark, d), KEYS, "published_at", "is_amendment", "row_id", LINK_WEIGHTS, _least_score())
 
 
 def _splits(points: DataFrame) -> DataFrame:
@@ -205,16 +205,47 @@ def first_publications(spark: SparkSession, d: str) -> DataFrame:
 
 def pit_events(spark: SparkSession, d: str) -> DataFrame:
     """Each issuer's publication days with what was visible of the last year's trades at the end of that day."""
-    r = _register(spark, d)
+    return _pit_events(_register(spark, d))
+
+
+def _pit_events(r: Register) -> DataFrame:
     days = r.rows.select("issuer_key", F.to_date("published_at").alias("event_day"))
     return _rounded(r.daily_for(days, "event_day", 365, {"volume": "volume"}), 2)
 
 
 def quiet_issuers(spark: SparkSession, d: str) -> DataFrame:
-    seen = _register(spark, d).visible(F.lit(AS_OF).cast("timestamp_ntz"), F.lit("2025-06-20").cast("date"))
+    return _quiet_issuers(spark, d, _register(spark, d))
+
+
+def _quiet_issuers(spark: SparkSession, d: str, r: Register) -> DataFrame:
+    seen = r.visible(F.lit(AS_OF).cast("timestamp_ntz"), F.lit("2025-06-20").cast("date"))
     return table(spark, d, "issuers").join(seen, "issuer_key", "left_anti").select("issuer_key")
 
 
+# The four above end every earlier filing of a key with its next amendment, as their SQL does; these end only the filing replaced.
+def _linked_register(spark: SparkSession, d: str, first: bool = False) -> Register:
+    cancelled = F.coalesce(F.col("status_raw").isin("Makulerad", "Cancelled"), F.lit(False))
+    t = _txns(spark, d).withColumn("_amends", F.col("is_amendment") & ~cancelled)
+    least = F.when(cancelled, float("inf")).otherwise(_least_score())
+    return Register(with_linked_visibility(t, KEYS, "published_at", "_amends", "row_id", LINK_WEIGHTS, least, F.col("status_raw").isin("Reviderad", "Revised"), KEYS[:2], first))
+
+
+def linked_as_seen(spark: SparkSession, d: str) -> DataFrame:
+    return _linked_register(spark, d).visible(F.lit(AS_OF).cast("timestamp_ntz")).select("row_id", "issuer_key", "visible_until")
+
+
+def linked_first_publications(spark: SparkSession, d: str) -> DataFrame:
+    return _linked_register(spark, d, True).visible(F.lit(AS_OF).cast("timestamp_ntz")).select("row_id", "visible_from")
+
+
+def linked_pit_events(spark: SparkSession, d: str) -> DataFrame:
+    return _pit_events(_linked_register(spark, d))
+
+
+def linked_quiet_issuers(spark: SparkSession, d: str) -> DataFrame:
+    return _quiet_issuers(spark, d, _linked_register(spark, d))
+
+
 # --- event study ------------------------------------------------------------------------------------------------------
 def _returns(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "mcap_points").where("price_used > 0").select("issuer_key", F.col("as_of_day").alias("day"), F.col("price_used").alias("close"))
@@ -267,7 +298,7 @@ QUERIES = {
     for f in (
         crosstab_source_status, lag_quantiles, issuers_top_others, venue_frequency, repeated_filings, publication_gaps, lei_by_isin, currency_by_issuer, type_by_isin, issuers_with_many_isins, issuers_without_points,
         issuers_in_feed, issuer_backfill, raw_occurrence_ids, refreshed_register, isin_checks, lei_checks, person_keys, canonical_register, fx_asof, shares_asof, next_amendment, issue_at_price, mcap_peers, cooled_publications,
-        crowded_windows, crowd_episodes, revision_links, split_factors, visible_as_seen, visible_snapshot, first_publications, pit_events, quiet_issuers, event_return_status, excess_iid, excess_clustered, excess_two_way,
+        crowded_windows, crowd_episodes, revision_links, split_factors, visible_as_seen, visible_snapshot, first_publications, pit_events, quiet_issuers, linked_as_seen, linked_first_publications, linked_pit_events, linked_quiet_issuers, event_return_status, excess_iid, excess_clustered, excess_two_way,
         excess_calendar_time, excess_summary, excess_bootstrap, monthly_returns,
     )
 }
