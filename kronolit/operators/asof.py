@@ -30,13 +30,15 @@ def asof_backward(left: DataFrame, right: DataFrame, *, key: str, left_on: str,
     return out.select(*left.columns, *[F.col(f"_v.{v}").alias(v) for v in values], F.col("_d").alias(f"{right_on}_matched"))
 
 
-def asof_forward(left: DataFrame, right: DataFrame, *, key: str, left_on: str, right_on: str, values: list[str], right_key: str | None = None, strict: bool = False, max_ahead: int = 366) -> DataFrame:
-    """``left`` with ``values`` of the first ``right`` row of its key on or after (``strict``: after) ``left_on``, at most
-    ``max_ahead`` days ahead."""
+def asof_forward(left: DataFrame, right: DataFrame, *, key: str, left_on: str, right_on: str, values: list[str], right_key: str | None = None, strict: bool = False, max_ahead: int | None = None) -> DataFrame:
+    """``left`` with ``values`` of the first ``right`` row of its key on or after (``strict``: after) ``left_on``, with
+    ``max_ahead`` at most that many days ahead."""
     r = _latest(right, right_key or key, right_on, values)
-    prev = F.lag("_d").over(Window.partitionBy("_k").orderBy("_d"))
+    start = F.coalesce(F.lag("_d").over(Window.partitionBy("_k").orderBy("_d")), F.lit("0001-01-01").cast("date"))
+    if max_ahead is not None:
+        start = F.greatest(start, F.date_sub("_d", max_ahead + 1))
     shift = 0 if strict else 1
-    r = r.withColumn("_s", F.date_add(F.greatest(F.coalesce(prev, F.date_sub("_d", max_ahead + 1)), F.date_sub("_d", max_ahead + 1)), shift)).withColumn("_e", F.date_add("_d", shift))
+    r = r.withColumn("_s", F.date_add(start, shift)).withColumn("_e", F.date_add("_d", shift))
     return _interval_left(left, r, key, left_on).select(*left.columns, *[F.col(f"_v.{v}").alias(v) for v in values], F.col("_d").alias(f"{right_on}_matched"))
 
 

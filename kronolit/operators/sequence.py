@@ -168,5 +168,5 @@ def factor_after(points: DataFrame, splits: DataFrame, key: str, day: str, ratio
     s = splits.where(F.col(ratio) > 0).groupBy(F.col(key).alias("_sk"), F.col(day).alias("_sd")).agg(F.product(ratio).alias("_r"))
     w = Window.partitionBy("_sk").orderBy(F.col("_sd").desc()).rowsBetween(Window.unboundedPreceding, 0)
     s = s.withColumn("_f", F.product("_r").over(w)).withColumnRenamed("_sk", key)
-    out = asof_forward(points, s, key=key, left_on=day, right_on="_sd", values=["_f"], strict=True, max_ahead=36_500)
+    out = asof_forward(points, s, key=key, left_on=day, right_on="_sd", values=["_f"], strict=True)
     return out.select(*points.columns, F.coalesce("_f", F.lit(1.0)).alias("factor"))

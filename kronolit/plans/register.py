@@ -132,10 +132,19 @@ def shares_asof(spark: SparkSession, d: str) -> DataFrame:
 
 
 def next_amendment(spark: SparkSession, d: str) -> DataFrame:
-    """The first day after a filing on which its issuer published an amendment, within a year."""
+    """The first day after a filing on which its issuer published an amendment, within a year as its SQL has it."""
+    return _next_amendment(spark, d, 366)
+
+
+def next_amendment_any(spark: SparkSession, d: str) -> DataFrame:
+    """The first day after a filing on which its issuer published an amendment, however far ahead."""
+    return _next_amendment(spark, d, None)
+
+
+def _next_amendment(spark: SparkSession, d: str, max_ahead: int | None) -> DataFrame:
     t = _txns(spark, d).withColumn("day", F.to_date("published_at"))
     a = t.where("is_amendment").groupBy("issuer_key", "day").agg(F.count("*").alias("n")).withColumnRenamed("day", "amended")
-    return asof_forward(t.select("row_id", "issuer_key", "day"), a, key="issuer_key", left_on="day", right_on="amended", values=["n"], strict=True).select("row_id", F.col("amended_matched").alias("amended"), "n")
+    return asof_forward(t.select("row_id", "issuer_key", "day"), a, key="issuer_key", left_on="day", right_on="amended", values=["n"], strict=True, max_ahead=max_ahead).select("row_id", F.col("amended_matched").alias("amended"), "n")
 
 
 def issue_at_price(spark: SparkSession, d: str) -> DataFrame:
@@ -297,7 +306,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         crosstab_source_status, lag_quantiles, issuers_top_others, venue_frequency, repeated_filings, publication_gaps, lei_by_isin, currency_by_issuer, type_by_isin, issuers_with_many_isins, issuers_without_points,
-        issuers_in_feed, issuer_backfill, raw_occurrence_ids, refreshed_register, isin_checks, lei_checks, person_keys, canonical_register, fx_asof, shares_asof, next_amendment, issue_at_price, mcap_peers, cooled_publications,
+        issuers_in_feed, issuer_backfill, raw_occurrence_ids, refreshed_register, isin_checks, lei_checks, person_keys, canonical_register, fx_asof, shares_asof, next_amendment, next_amendment_any, issue_at_price, mcap_peers, cooled_publications,
         crowded_windows, crowd_episodes, revision_links, split_factors, visible_as_seen, visible_snapshot, first_publications, pit_events, quiet_issuers, linked_as_seen, linked_first_publications, linked_pit_events, linked_quiet_issuers, event_return_status, excess_iid, excess_clustered, excess_two_way,
         excess_calendar_time, excess_summary, excess_bootstrap, monthly_returns,
     )
