@@ -54,9 +54,9 @@ def bucketed_interval_join(
         final = F.coalesce(F.date_sub(F.col(end), 1), F.lit("9999-12-31").cast("date"))
         rough = F.when(final >= F.col(start), F.transform(F.sequence(day_bucket(F.col(start), COARSE), day_bucket(final, COARSE)), lambda x: F.struct(F.lit(1).alias("level"), x.alias("number"))))
         slots = F.concat(slots, F.coalesce(rough, F.array().cast("array<struct<level:int,number:int>>")))
-    iv = intervals.where(F.col(key).isNotNull() & F.col(start).isNotNull()).withColumn("_s", F.explode(slots))
+    iv = intervals.where(F.col(key).isNotNull() & F.col(start).isNotNull()).withColumn("_cell", F.explode(slots))
     # the planner sees the size before the explosion and would broadcast what the explosion makes large
-    iv = iv.withColumns({"_level": F.col("_s.level"), "_slot": F.col("_s.number")}).drop("_s").withColumnRenamed(key, "_key").hint("merge")
+    iv = iv.withColumns({"_level": F.col("_cell.level"), "_slot": F.col("_cell.number")}).drop("_cell").withColumnRenamed(key, "_key").hint("merge")
     ev = events if how == "left" else events.where(F.col(key).isNotNull() & F.col(at).isNotNull())
     near = (F.col(at).cast("date") >= first) & (F.col(at).cast("date") <= last) if odd else F.lit(True)
     ev = ev.withColumn("_bucket", F.when(near, day_bucket(F.col(at), width)).otherwise(day_bucket(F.col(at), COARSE))).withColumn("_rough", F.when(near, 0).otherwise(1))
