@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -59,6 +60,11 @@ def code(token: str) -> str:
     return t[:1] + "".join(sorted(set(re.sub(r"[aeiou]", "", t[1:]))))
 
 
+#: Jaro-Winkler similarity from which two tokens are spellings of one, and below which they are not.
+LIKE, UNLIKE = 0.9, 0.8
+
+
+@lru_cache(maxsize=1 << 16)
 def jaro_winkler(a: str, b: str) -> float:
     if a == b:
         return 1.0
@@ -85,8 +91,8 @@ def jaro_winkler(a: str, b: str) -> float:
 
 def parse_name(text: str) -> dict:
     """What a typed name says: ``company``, ``number``, ``purpose`` (companies), ``tokens`` (as they sound, sorted, nicknames
-    resolved), ``initials`` (letters that stand for a
-    name). Middle names and titles are dropped."""
+    resolved), ``initials`` (letters that stand for a name), ``middle`` (the words or initials between first and last name).
+    Titles are dropped."""
     t = unicodedata.normalize("NFKC", text)
     t = re.sub(r"(?<=[^\W\d_])(?<![A-ZÅÄÖÉÜØ])(?=[A-ZÅÄÖÉÜØ][^\W\d_A-ZÅÄÖÉÜØ])", " ", t)
     raw = re.findall(r"[^\W\d_]+\.?|\d+", plain_letters(re.sub(r"\b([A-Za-z])\.\s?([A-Za-z])\.(?!\w)", r"\1\2", t)))
@@ -109,12 +115,14 @@ def parse_name(text: str) -> dict:
                 purpose += sounds(hit)
             else:
                 base.append(sounds(w))
-        return {"company": True, "number": number, "purpose": purpose, "tokens": sorted(base), "initials": []}
+        return {"company": True, "number": number, "purpose": purpose, "tokens": sorted(base), "initials": [], "middle": []}
     words = [w for w in bare if w not in TITLES and not w.isdigit()]
-    if len(words) > 2:  # middle names say nothing against a spelling without them
-        words = words[:2] if "," in t.split(" ")[0] else [words[0], words[-1]]
+    middle = []
+    if len(words) > 2:
+        turned = "," in t.split(" ")[0]  # "Last, First Middle"
+        middle, words = (words[2:], words[:2]) if turned else (words[1:-1], [words[0], words[-1]])
     full = sorted(given(w) for w in words if len(w) > 1)
-    return {"company": False, "number": "", "purpose": "", "tokens": full, "initials": sorted(sounds(w)[:1] for w in words if len(w) == 1)}
+    return {"company": False, "number": "", "purpose": "", "tokens": full, "initials": sorted(sounds(w)[:1] for w in words if len(w) == 1), "middle": [given(w) if len(w) > 1 else sounds(w)[:1] for w in middle]}
 
 
 def keys(p: dict) -> list[str]:
@@ -140,25 +148,42 @@ def surname_keys(token: str) -> list[str]:
     return sorted({code(token), token[:3] + "<", ">" + token[-3:]})
 
 
+@lru_cache(maxsize=1 << 16)
 def token_cost(a: str, b: str) -> int | None:
-    """0 the same sound, else the number of typing mistakes if there can be only mistakes between them, else None."""
+    """Typing mistakes between two tokens, None if they are no spellings of one. Jaro-Winkler decides from ``LIKE`` up and below
+    ``UNLIKE``; in between, where its greedy matching is blind to a single wrong letter, the mistakes must be few. At most 2."""
     if a == b:
         return 0
     n = min(len(a), len(b))
-    if n < 3 or abs(len(a) - len(b)) > 2 or jaro_winkler(a, b) < 0.8:
+    if n < 3 or abs(len(a) - len(b)) > 2 or (j := jaro_winkler(a, b)) < UNLIKE:
         return None
     d = damerau(a, b)
-    return d if d <= (1 if n < 6 else 2) else None
+    return d if d <= (1 if n < 6 else 2) else 2 if j >= LIKE else None
+
+
+def middle_agrees(a: list[str], b: list[str]) -> bool:
+    """Whether the middle names of the one can all be found among those of the other; an initial stands for any name it begins."""
+    few, left = sorted((a, list(b)), key=len)
+    left = list(left)
+    for x in few:
+        hit = next((y for y in left if (len(min(x, y, key=len)) == 1 and x[0] == y[0]) or token_cost(x, y) is not None), None)
+        if hit is None:
+            return False
+        left.remove(hit)
+    return True
 
 
 def same(p: dict, q: dict) -> bool:
-    """Whether two parsed names are one person or company: every token of the one has its own token in the other, with at most
-    two mistakes in all, and what companies must share (number, purpose) is equal. A person needs two full tokens."""
+    """Whether two parsed names are one person or company: every token of the one has its own token in the other, with at
+    most two mistakes in all, what companies must share (number, purpose) is equal, and middle names agree where
+    both have any. A person needs two full tokens."""
     if p["company"] != q["company"] or p["number"] != q["number"] or p["purpose"] != q["purpose"]:
         return False
     if p["company"]:
         a, b = "".join(p["tokens"]), "".join(q["tokens"])
         return bool(a and b) and token_cost(a, b) is not None
+    if p["middle"] and q["middle"] and not middle_agrees(p["middle"], q["middle"]):
+        return False
     a, b = sorted((p["tokens"], q["tokens"]), key=len)
     if len(a) < 2:
         return False
@@ -177,14 +202,15 @@ def _key_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for g, i, name in zip(pdf["grp"], pdf["id"], pdf["name"], strict=True):
             p = parse_name(name)
-            form = "\x1f".join([str(int(p["company"])), p["number"], p["purpose"], " ".join(p["tokens"]), " ".join(p["initials"])])
+            form = "\x1f".join([str(int(p["company"])), p["number"], p["purpose"], " ".join(p["tokens"]), " ".join(p["initials"]), " ".join(p["middle"])])
             rows.append((g, i, form))
         yield pd.DataFrame(rows, columns=["grp", "id", "form"])
 
 
+@lru_cache(maxsize=1 << 14)
 def unpack(form: str) -> dict:
-    company, number, purpose, toks, initials = form.split("\x1f")
-    return {"company": company == "1", "number": number, "purpose": purpose, "tokens": toks.split(), "initials": initials.split()}
+    company, number, purpose, toks, initials, middle = form.split("\x1f")
+    return {"company": company == "1", "number": number, "purpose": purpose, "tokens": toks.split(), "initials": initials.split(), "middle": middle.split()}
 
 
 def _block_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,9 +229,24 @@ def _block_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _accept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Accepted pairs a, b. Where one of them has a middle name and the other has none, ``bare`` is the one without and ``sign`` the
+    middle name of the other as it sounds."""
     for pdf in batches:
-        ok = [same(unpack(a), unpack(b)) for a, b in zip(pdf["form_a"], pdf["form_b"], strict=True)]
-        yield pdf.loc[ok, ["a", "b"]]
+        out = []
+        for a, b, fa, fb in zip(pdf["a"], pdf["b"], pdf["form_a"], pdf["form_b"], strict=True):
+            p, q = unpack(fa), unpack(fb)
+            if same(p, q):
+                one = bool(p["middle"]) != bool(q["middle"])
+                m = (p["middle"] or q["middle"])[0] if one else None
+                out.append((a, b, (b if p["middle"] else a) if one else None, m[:1] if one else None, code(m) if one and len(m) > 1 else None))
+        yield pd.DataFrame(out, columns=["a", "b", "bare", "initial", "sign"]).astype({"bare": "Int64"} if pdf["a"].dtype.kind == "i" else {})
+
+
+def agreed_pairs(accepted: DataFrame) -> DataFrame:
+    """a, b: the accepted pairs, but a name without a middle name is linked to names with one only if all those agree on it."""
+    loose = accepted.where("bare is not null")
+    one = loose.groupBy("bare").agg(F.min("initial").alias("i"), F.max("initial").alias("j"), F.min("sign").alias("s"), F.max("sign").alias("t")).where("i = j and (s is null or s = t)").select("bare")
+    return accepted.where("bare is null").select("a", "b").unionByName(loose.join(one, "bare", "left_semi").select("a", "b"))
 
 
 def _accept_short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -222,15 +263,15 @@ def _accept_short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.loc[ok, ["a", "b"]]
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """id, component (its smallest id) of every vertex of ``edges`` (a, b), by alternating large-star and small-star steps.
 
-    Each round is a grouped minimum and a join; the edges are written to the shared checkpoint folder after each. Ends when a
-    round changes nothing; a chain of n vertices takes O(log n) rounds. Nothing is collected but one number a round.
+    Each round is a grouped minimum and a join; the edges are written to the shared checkpoint folder after each. Ends only when
+    a round changes nothing, which is when every edge leads to its component's smallest id; a chain of n vertices takes O(log n) rounds. Nothing is collected but one number a round.
     """
     e = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null and a != b").distinct())
     before = None
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
@@ -249,8 +290,9 @@ def linked_names(names: DataFrame, id_col: str = "name_id", group: str = "issuer
     """id, grp, entity: every row with a non-blank name and a group, ``entity`` the smallest id of its person or company.
 
     1. Rows whose parsed name is the same (case, order, title, legal form, nickname) are one form, by a grouped minimum, so
-       copies never meet in pairs. 2. Forms meet in blocks of a group (``keys``) and are compared (``same``: Jaro-Winkler and
-       edits on tokens as they sound, nicknames resolved). 3. Accepted pairs are joined by connected components. 4. Forms of
+       copies never meet in pairs. 2. Forms meet in blocks of a group (``keys``) and are compared (``same``: Jaro-Winkler on
+       tokens as they sound, nicknames resolved). Different middle names tell persons apart; a form without one joins those
+       that have one only if they agree. 3. Accepted pairs are joined by connected components. 4. Forms of
        an initial and one token join the only entity of their group that fits; where several fit they stay by themselves,
        and equal ones stay together. Null or blank names or groups belong to nobody and are left out.
     """
@@ -262,7 +304,8 @@ def linked_names(names: DataFrame, id_col: str = "name_id", group: str = "issuer
     full = blocks.where("not short").select("grp", "block", F.col("rep").alias("a"), F.col("form").alias("form_a"))
     other = full.select("grp", "block", F.col("a").alias("b"), F.col("form_a").alias("form_b"))
     cand = full.join(other, ["grp", "block"]).where("a < b").select("a", "b", "form_a", "form_b").distinct()
-    comp = components(cand.mapInPandas(_accept, f"a {idt}, b {idt}"))
+    accepted = checkpointed(cand.mapInPandas(_accept, f"a {idt}, b {idt}, bare {idt}, initial string, sign string"))
+    comp = components(agreed_pairs(accepted))
     ent = reps.join(comp, reps["rep"] == comp["id"], "left").select("grp", "form", "rep", F.coalesce("component", "rep").alias("entity"))
     ent = checkpointed(ent)
     short = blocks.where("short").select("grp", "block", F.col("rep").alias("a"), F.col("form").alias("form_a"))
