@@ -120,11 +120,12 @@ def allowed_edits(n: int) -> int:
 
 
 class Canonicalizer:
-    """The entries of one field. ``entries``: (code, spelling). ``best`` gives (rank, distance, code) of a typed value or None.
+    """The entries of one field, or of one shard of them. ``entries``: (code, spelling).
 
-    Ranks, the lower the better: 0 the letters of a spelling, in its or any other order of words; 1 abbreviated words, each cut
-    short by a point; 2 a spelling with at most ``allowed_edits`` mistakes (BK-tree, words in order, reversed or sorted); 3 the
-    letters of a spelling next to other words. Two codes of equal rank and distance: the longer agreement, else none.
+    Ranks, the lower the better: 0 the letters of a spelling in its order of words; 1 in any order; 2 abbreviated words, each cut
+    short by a point; 3 a spelling with at most ``allowed_edits`` mistakes (BK-tree, words in order, reversed or sorted); 4 the
+    letters of a spelling next to other words (distance: how many others). ``candidates`` gives every entry that can win in a
+    rank, ties included, and ``decide`` picks among the candidates of all shards, so that a shard never settles a tie by itself.
     """
 
     def __init__(self, entries: Iterable[tuple[str, str]]) -> None:
@@ -144,31 +145,50 @@ class Canonicalizer:
         hits = tree.within(word, 2 * k) if k else []
         return [(d, c) for _, w in hits if (d := damerau(word, w)) <= min(k, allowed_edits(len(w))) for c in codes[w]]
 
-    def best(self, text: str) -> tuple[int, int, str] | None:
+    def candidates(self, text: str) -> list[tuple[int, int, str]]:
+        """(rank, distance, code): of each rank the nearest entries of these. Ranks 0 and 1 win whatever comes after them."""
         t = tokens(text)
         word = "".join(t)
         if not word:
-            return None
-        for got in (self.code.get(word), self.bags.get("".join(sorted(t)))):
+            return []
+        for rank, got in enumerate((self.code.get(word), self.bags.get("".join(sorted(t))))):
             if got:
-                return (0, 0, min(got)) if len(got) == 1 else None
+                return [(rank, 0, c) for c in sorted(got)]
+        out: list[tuple[int, int, str]] = []
         cut = re.findall(r"([^\W\d_]+)(\.?)", folded(text))
         if any(dot for _, dot in cut):
             short = {c for c, w in self.words if len(w) == len(cut) and all((x.startswith(a) and len(a) > 1) if dot else x == a for (a, dot), x in zip(cut, w, strict=True))}
-            if len(short) == 1:
-                return (1, 0, short.pop())
+            out += [(2, 0, c) for c in sorted(short)]
         near = self._near(word, self.tree, self.code)
         if len(t) > 1:
             near += self._near("".join(sorted(t)), self.bag_tree, self.bags)
         if near:
             d = min(near)[0]
-            codes = {c for e, c in near if e == d}
-            return (2, d, codes.pop()) if len(codes) == 1 else None
+            out += [(3, d, c) for c in sorted({c for e, c in near if e == d})]
         for n in range(len(t) - 1, 0, -1):
             codes = {c for i in range(len(t) - n + 1) for c in self.code.get("".join(t[i : i + n]), ())}
             if codes:
-                return (3, len(t) - n, codes.pop()) if len(codes) == 1 else None
-        return None
+                return out + [(4, len(t) - n, c) for c in sorted(codes)]
+        return out
+
+    def best(self, text: str) -> tuple[int, int, str] | None:
+        return decide(self.candidates(text))
+
+
+def decide(found: Iterable[tuple[int, int, str]]) -> tuple[int, int, str] | None:
+    """The nearest candidate of the first rank that has any; None where several codes are equally near. Only abbreviated words (rank
+    2) that fit several codes leave it to the next ranks."""
+    by: dict[int, list[tuple[int, str]]] = {}
+    for rank, d, c in found:
+        by.setdefault(rank, []).append((d, c))
+    for rank in sorted(by):
+        d = min(by[rank])[0]
+        codes = {c for e, c in by[rank] if e == d}
+        if len(codes) == 1:
+            return rank, d, codes.pop()
+        if rank != 2:
+            return None
+    return None
 
 
 def _matcher(entries: list[tuple[str, str, str]], field: str, value: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -178,12 +198,21 @@ def _matcher(entries: list[tuple[str, str, str]], field: str, value: str) -> Cal
             by_field.setdefault(f, []).append((c, s))
         ready = {f: Canonicalizer(e) for f, e in by_field.items()}
         for pdf in batches:
-            got = [ready[f].best(v) if f in ready else None for f, v in zip(pdf[field], pdf[value], strict=True)]
-            yield pdf.assign(rank=[g[0] if g else 9 for g in got], distance=[g[1] if g else 0 for g in got], code=[g[2] if g else UNMATCHED for g in got])
+            out = [(f, v, *x) for f, v in zip(pdf[field], pdf[value], strict=True) if f in ready for x in ready[f].candidates(v)]
+            yield pd.DataFrame(out, columns=["field_name", "value", "rank", "distance", "code"])
 
     return run
 
 
+def decided(found: DataFrame) -> DataFrame:
+    """field_name, value, code of what ``decide`` picks among the candidates of a value, as grouped aggregates."""
+    each = found.groupBy("field_name", "value", "rank", "distance").agg(F.min("code").alias("lo"), F.max("code").alias("hi"))
+    best = each.groupBy("field_name", "value").agg(*[F.min(F.when(F.col("rank") == r, F.struct("distance", "lo", "hi"))).alias(f"r{r}") for r in range(5)])
+    one = lambda r: F.when(F.col(f"r{r}.lo") == F.col(f"r{r}.hi"), F.col(f"r{r}.lo"))
+    pick = F.coalesce(*[F.when(F.col(f"r{r}").isNotNull(), one(r) if r == 2 else F.coalesce(one(r), F.lit(UNMATCHED))) for r in range(5)], F.lit(UNMATCHED))
+    return best.select("field_name", "value", pick.alias("code"))
+
+
 def spellings(terms: DataFrame) -> DataFrame:
     """field_name, code, spelling of every label, label_en and alias of a reference list."""
     every = F.concat(F.array("label", "label_en"), F.coalesce("aliases", F.array().cast("array<string>")))
@@ -195,10 +224,10 @@ def canonical_codes(rows: DataFrame, terms: DataFrame, id_col: str, fields: list
     the entry meant or UNMATCHED.
 
     The values are reduced to distinct ones (partial aggregates first, so a value that a third of all rows hold is one row a
-    task) and only those are looked up. A reference list of at most ``shard`` spellings, which is counted, goes to every task
-    in one BK-tree a field; a longer one is cut into shards that are looked up one after the other, and each value keeps the
-    best of the shards' winners (two codes with equal rank and distance in different shards: UNMATCHED, as within one).
-    Equal rows come out as often as they stand there; an empty list gives UNMATCHED throughout.
+    task) and only those are looked up. The reference list, which is counted, goes to every task in one BK-tree a field and
+    ``shard`` spellings at most; a longer one is cut into shards whose candidates are merged before anything is decided, so
+    that the codes are the same whatever ``shard`` is. Several codes equally near: UNMATCHED. Equal rows come out as often as
+    they stand there; an empty list gives UNMATCHED throughout.
     """
     long = rows.select(F.col(id_col).alias("id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in fields])).alias("x")).select("id", "x.*").where("value != ''")
     exact = terms.select("field_name", F.explode(F.array("label", "label_en")).alias("value")).where("value is not null").distinct()
@@ -207,18 +236,11 @@ def canonical_codes(rows: DataFrame, terms: DataFrame, id_col: str, fields: list
     typed = long.join(F.broadcast(exact) if n <= shard else exact, ["field_name", "value"], "left_anti")
     values = typed.groupBy("field_name", "value").count().drop("count")
     schema = "field_name string, value string, rank int, distance int, code string"
-    if n <= shard:
-        entries = [tuple(r) for r in sp.collect()]  # at most ``shard`` rows
-        found = values.mapInPandas(_matcher(entries, "field_name", "value"), schema)
-    else:
-        k = -(-n // shard)
-        parts = sp.withColumn("shard", F.pmod(F.xxhash64("field_name", "spelling"), F.lit(k)))
-        found = None
-        for i in range(k):
-            entries = [tuple(r) for r in parts.where(F.col("shard") == i).drop("shard").collect()]
-            part = values.mapInPandas(_matcher(entries, "field_name", "value"), schema)
-            found = part if found is None else found.unionByName(part)
-        best = found.groupBy("field_name", "value").agg(F.min(F.struct("rank", "distance")).alias("b"))
-        tied = found.join(best, ["field_name", "value"]).where("rank = b.rank and distance = b.distance")
-        found = tied.groupBy("field_name", "value").agg(F.when(F.count_distinct("code") == 1, F.min("code")).otherwise(UNMATCHED).alias("code"))
-    return typed.join(found.select("field_name", "value", "code"), ["field_name", "value"]).select("id", "field_name", "value", "code")
+    k = max(1, -(-n // shard))
+    parts = sp.withColumn("shard", F.pmod(F.xxhash64("field_name", "spelling"), F.lit(k)))
+    found = None
+    for i in range(k):
+        entries = [tuple(r) for r in parts.where(F.col("shard") == i).drop("shard").collect()]  # about ``shard`` rows
+        part = values.mapInPandas(_matcher(entries, "field_name", "value"), schema)
+        found = part if found is None else found.unionByName(part)
+    return typed.join(decided(found), ["field_name", "value"], "left").select("id", "field_name", "value", F.coalesce("code", F.lit(UNMATCHED)).alias("code"))

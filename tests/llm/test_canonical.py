@@ -61,6 +61,24 @@ def test_table(spark, shard):
     assert got == [(1, "f", "ceo"), (2, "f", "board"), (2, "g", "share"), (4, "g", "share"), *[(5, "f", "UNMATCHED")] * 2, *[(5, "g", "UNMATCHED")] * 2, (6, "f", "UNMATCHED")]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_shards_cannot_be_seen(spark, seed):
+    """Random lists full of near ties: the same codes for every shard size, those of the list as a whole."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("ab") for _ in range(r.randint(3, 9)))
+    names = [" ".join(word() for _ in range(r.randint(1, 3))) for _ in range(40)]
+    names += ["forvaltare x", "forvaltara x", "forvaltxre xx"]
+    terms = spark.createDataFrame([(i, "f", f"c{i % 25}", x, None, [names[i - 1]] if i % 7 == 0 else None) for i, x in enumerate(names)], R)
+    typed = ["forvaltarx x", *(" ".join(word() + r.choice(["", "."]) for _ in range(r.randint(1, 3))) for _ in range(150))]
+    df = spark.createDataFrame(list(enumerate(typed)), "row_id long, f string")
+    got = [sorted((x["id"], x["code"]) for x in canonical_codes(df, terms, "row_id", ["f"], shard=k).collect()) for k in (20_000, 11, 2)]
+    assert got[0] == got[1] == got[2]
+    entries = [(f"c{i % 25}", x) for i, x in enumerate(names)] + [(f"c{i % 25}", names[i - 1]) for i in range(len(names)) if i % 7 == 0]
+    whole = Canonicalizer(entries)
+    assert dict(got[0]) == {i: (b[2] if (b := whole.best(x)) else "UNMATCHED") for i, x in enumerate(typed) if x not in names}
+    assert dict(got[0])[0] == "UNMATCHED"
+
+
 def test_empty(spark):
     terms = spark.createDataFrame([], R)
     df = spark.createDataFrame([(1, "a", None)], "row_id long, f string, g string")
