@@ -147,31 +147,54 @@ def encode_pretokens(pieces: list[bytes], m: Merges) -> tuple[np.ndarray, np.nda
 
 
 class BatchEncoder:
-    """Encodes batches of texts; the distinct pre-tokens of a batch are encoded together."""
+    """Encodes batches of texts; the distinct pre-tokens of a batch that are not yet known are encoded together.
 
-    def __init__(self, merges: Merges) -> None:
-        import regex
+    What is known is kept from batch to batch, with what ``also`` says of each pre-token, and forgotten as a whole beyond ``limit``
+    bytes of pre-tokens, so that a task's memory is bounded.
+    """
 
-        self.merges, self.find = merges, regex.compile(PATTERN).findall
+    def __init__(self, merges: Merges, also: Callable[[list[str]], np.ndarray] | None = None, limit: int = 8_000_000) -> None:
+        import regex
 
-    def pretokens(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Distinct pre-tokens, for each text's pre-tokens in turn their place among those, and the number of each text."""
+        self.merges, self.also, self.limit, self.find = merges, also, limit, regex.compile(PATTERN).findall
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids, self.starts, self.extra, self.held = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64), None, 0
+
+    def _learn(self, words: list[str]) -> None:
+        pieces = [w.encode() for w in words]
+        ids, starts = encode_pretokens(pieces, self.merges)
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
+        self.starts = np.concatenate((self.starts, self.starts[-1] + starts[1:]))
+        self.ids, self.held = np.concatenate((self.ids, ids)), self.held + sum(map(len, pieces))
+        if self.also:
+            more = self.also(words)
+            self.extra = more if self.extra is None else np.concatenate((self.extra, more))
+
+    def pretokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each text's pre-tokens in turn, and how many each text has. ``starts`` and ``ids`` hold what they stand for."""
         found = [self.find(t) if t else () for t in texts]
-        place = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(found)))}
+        distinct = dict.fromkeys(chain.from_iterable(found))
+        if self.held > self.limit:
+            self._forget()
+        new = [w for w in distinct if w not in self.place]
+        if new:
+            self._learn(new)
         counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        index = np.fromiter(map(place.__getitem__, chain.from_iterable(found)), dtype=np.int64, count=int(counts.sum()))
-        return list(place), index, counts
+        return np.fromiter(map(self.place.__getitem__, chain.from_iterable(found)), dtype=np.int64, count=int(counts.sum())), counts
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and offsets (one more than texts)."""
-        words, index, counts = self.pretokens(texts)
-        ids, starts = encode_pretokens([w.encode() for w in words], self.merges)
-        size = np.diff(starts)[index]
+        index, counts = self.pretokens(texts)
+        starts = self.starts[index]
+        size = self.starts[index + 1] - starts
         ends = np.cumsum(size)
-        flat = np.repeat(starts[index] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
+        flat = np.repeat(starts - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
         offsets = np.zeros(len(texts) + 1, dtype=np.int64)
         np.cumsum(counts, out=offsets[1:])
-        return ids[flat], np.concatenate(([0], ends))[offsets]
+        return self.ids[flat], np.concatenate(([0], ends))[offsets]
 
 
 def blocks(texts: list[str | None], limit: int = 4_000_000) -> Iterator[tuple[int, int]]:

@@ -30,6 +30,16 @@ def test_against_other_implementation(reference):
         assert ids[at[i] : at[i + 1]].tolist() == reference(t), t
 
 
+def test_bank_of_pretokens_forgets(reference):
+    """Batch by batch with a bank that is full at once: the same ids."""
+    enc, r = BatchEncoder(Merges(PATH), limit=40), random.Random(2)
+    for _ in range(30):
+        texts = ["".join(r.choice("abc  é1") for _ in range(r.randint(0, 30))) for _ in range(5)] + [None, ""]
+        ids, at = enc.encode(texts)
+        assert [ids[at[i] : at[i + 1]].tolist() for i in range(7)] == [reference(t) if t else [] for t in texts]
+    assert enc.held < 5000
+
+
 def test_one_very_long_pretoken(reference):
     ids, at = encode_pretokens([b"abcab" * 60_000, b"", b"x"], Merges(PATH))
     assert at.tolist()[1] == at.tolist()[2] and at.tolist()[3] == len(ids)
