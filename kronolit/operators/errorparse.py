@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 BLANKS = " \t\r\n\x0b\x0c\x1c\x1d\x1e\x1f\x85   "
 #: The fields of a register line, and those with a type: reason, position.
 N_FIELDS, TYPED = 22, {"published": 0, "trade_date": 15, "status": 21}
+WHERE = {i: name for name, i in TYPED.items()}
 STATUS = ("Aktuell", "Reviderad", "Makulerad", "Current", "Revised")
 #: Cost of one edit, so that fewer quote edits always count before fewer delimiter edits before fewer invalid values.
 QUOTE, DELIM, VALUE = 1_000_000_000, 10_000, 1
@@ -78,7 +79,7 @@ def repair(tokens: list[tuple[str, str, int]], sep: str = ";", quote: str = '"',
 
     Dynamic programme over (tokens read, fields made, inside a repaired quotation). Edits: delete a quote (``torn``, ``open``),
     insert the closing quote of an ``open`` token after any later token, delete a separator (join a token to the field before),
-    insert a separator (an empty field). A surplus empty last field is free. O(tokens x fields).
+    insert a separator (an empty field), replace an invalid value. A surplus empty last field is free. O(tokens x fields).
     """
     toks = tokens[:-1] if len(tokens) == n_fields + 1 and tokens[-1][0] != "open" and not tokens[-1][1].strip(BLANKS) else tokens
     big, w = 1 << 50, n_fields + 1
@@ -106,7 +107,7 @@ def repair(tokens: list[tuple[str, str, int]], sep: str = ";", quote: str = '"',
         if kind == "open":
             start[1:] = full[:-1]
         inner = np.minimum(start, inside)
-        trace.append((how, at, start <= inside))
+        trace.append((how, at, start <= inside, typed))
         shut, inside = s, inner
     # at the end empty fields may follow; a quotation still open closes here
     ends = np.minimum(shut, inside + QUOTE)
@@ -117,7 +118,7 @@ def repair(tokens: list[tuple[str, str, int]], sep: str = ";", quote: str = '"',
     if mode == "in":
         edits.append("insert closing quote at the end")
     for i in range(len(toks) - 1, -1, -1):
-        how, at, began = trace[i]
+        how, at, began, typed = trace[i]
         kind, text, end = toks[i]
         if mode == "in":
             pieces[j - 1].append(text)
@@ -132,6 +133,8 @@ def repair(tokens: list[tuple[str, str, int]], sep: str = ";", quote: str = '"',
             edits.append(f"delete quote in token ending at {end}")
         if how[j] == 0:
             j -= 1
+            if typed[j]:
+                edits.append(f"replace value of {WHERE[j]}")
             if at[j] < j:
                 edits.append(f"insert {j - at[j]} separators before {end - len(text)}")
             j = int(at[j])
@@ -144,15 +147,16 @@ def repair(tokens: list[tuple[str, str, int]], sep: str = ";", quote: str = '"',
 
 
 def parse_line(line: str) -> tuple[list[str], list[str], list[str]]:
-    """Fields, reasons and edits of one line; no reasons: the parse costs nothing and every typed value is valid."""
+    """Fields, reasons and edits of one line. A line that splits into its fields as it stands, with valid values, is a parse of cost
+    zero; for any other the cheapest edits are found, and they are the reasons."""
     tokens = lex(line)
     fields = [t[1] for t in tokens]
     if len(fields) == N_FIELDS + 1 and not fields[-1].strip(BLANKS):
         fields = fields[:-1]
-    if len(fields) == N_FIELDS and all(t[0] in ("plain", "quoted") for t in tokens):
-        return fields, bad_values(fields), []
+    if len(fields) == N_FIELDS and all(t[0] in ("plain", "quoted") for t in tokens) and not bad_values(fields):
+        return fields, [], []
     cost, fields, edits = repair(tokens)
-    reasons = ["quoting"] if cost >= QUOTE else ["column_count"] if cost >= DELIM else bad_values(fields)
+    reasons = ["quoting"] if cost >= QUOTE else ["column_count"] if cost >= DELIM else [r for r in TYPED if f"replace value of {r}" in edits]
     return fields, reasons, edits
 
 
@@ -164,7 +168,7 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _typed_ok(fields: Column) -> Column:
     """Array of the failing typed fields' reasons, as expressions."""
-    trim = lambda i: F.regexp_replace(fields[i], rf"^[{BLANKS}]+|[{BLANKS}]+$", "")
+    trim = lambda i: F.regexp_replace(F.get(fields, F.lit(i)), rf"^[{BLANKS}]+|[{BLANKS}]+$", "")
     stamp = lambda c: F.coalesce(c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}( [0-9]{2}:[0-9]{2}:[0-9]{2})?\z") & ~c.startswith("0000") & F.when(F.length(c) > 10, F.try_to_timestamp(c, F.lit("yyyy-MM-dd HH:mm:ss")).isNotNull()).otherwise(c.try_cast("date").isNotNull()), F.lit(False))
     p, t, s = (trim(i) for i in TYPED.values())
     return F.array_compact(F.array(F.when(~stamp(p), "published"), F.when((t != "") & ~stamp(t), "trade_date"), F.when(~s.isin(*STATUS), "status")))
@@ -173,19 +177,20 @@ def _typed_ok(fields: Column) -> Column:
 def parse_register(lines: DataFrame, id_col: str = "line_id", line_col: str = "raw_line") -> DataFrame:
     """id, fields (22 strings), reasons, edits of every line; a line without reasons is loaded, the others are set apart.
 
-    A parse of cost zero exists for a line without a field that begins with a quote when it splits into 22 fields (an empty
-    23rd is free); that is decided and typed in Spark expressions. All other lines go through ``lex`` and the dynamic
-    programme ``repair``, each by itself. Reasons: ``quoting`` if every reading edits quotes, else ``column_count`` if every
-    reading edits separators, else the typed fields with invalid values. A null line comes out with null fields and the
-    reason ``column_count``, an empty one as a line of one field. Extra columns are ignored; repeated ids stay repeated.
+    A line without a field that begins with a quote that splits into 22 fields (an empty 23rd is free) with valid values is a
+    parse of cost zero; that much is decided in Spark expressions. All other lines go through ``lex`` and the dynamic programme
+    ``repair``, each by itself, and every line that fails has the edits that would mend it. Reasons: ``quoting`` if every
+    reading edits quotes, else ``column_count`` if every reading edits separators, else the typed fields whose values are
+    replaced. A null line comes out with null fields and the reason ``column_count``, an empty one as a line of one field.
+    Extra columns are ignored; repeated ids stay repeated.
     """
     df = lines.select(F.col(id_col).alias("id"), F.col(line_col).alias("line"))
     parts = F.split("line", ";", -1)
-    blank = parts[N_FIELDS].rlike(rf"^[{BLANKS}]*\z")
+    blank = F.get(parts, F.lit(N_FIELDS)).rlike(rf"^[{BLANKS}]*\z")
     easy = ~F.col("line").rlike(r'(^|;)"') & ((F.size(parts) == N_FIELDS) | ((F.size(parts) == N_FIELDS + 1) & blank))
-    df = df.withColumn("easy", easy)
     none = F.array().cast("array<string>")
-    good = df.where("easy").select("id", F.slice(parts, 1, N_FIELDS).alias("fields")).select("id", "fields", _typed_ok(F.col("fields")).alias("reasons"), none.alias("edits"))
+    df = df.withColumn("easy", F.coalesce(easy & (F.size(_typed_ok(parts)) == 0), F.lit(False)))
+    good = df.where("easy").select("id", F.slice(parts, 1, N_FIELDS).alias("fields"), none.alias("reasons"), none.alias("edits"))
     kind = dict(df.dtypes)["id"]
-    hard = df.where("not coalesce(easy, false)").select("id", "line").mapInPandas(_parse_batches, f"id {kind}, fields array<string>, reasons array<string>, edits array<string>")
+    hard = df.where("not easy").select("id", "line").mapInPandas(_parse_batches, f"id {kind}, fields array<string>, reasons array<string>, edits array<string>")
     return good.unionByName(hard)

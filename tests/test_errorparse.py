@@ -104,6 +104,7 @@ def test_random_damage(seed):
         assert reasons == strict(t), t
         if reasons in (["quoting"], ["column_count"]):
             assert edits and len(fields) == 22, t
+        assert bool(edits) == bool(reasons) and (reasons == [] or reasons[0] in ("quoting", "column_count") or edits == [f"replace value of {x}" for x in reasons]), (t, edits)
 
 
 def cheapest(tokens):
