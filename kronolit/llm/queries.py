@@ -68,10 +68,19 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return SharedSpans(_table(spark, d, "documents")).pairs()
 
 
+def p10_links(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs between the representatives of different texts; with ``p10_members`` the same as ``p10_found`` without expanding copies."""
+    return SharedSpans(_table(spark, d, "documents")).links_of_representatives()
+
+
+def p10_members(spark: SparkSession, d: str) -> DataFrame:
+    return SharedSpans(_table(spark, d, "documents")).members()
+
+
 def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     """How much of every document stands verbatim in another one."""
     return SharedSpans(_table(spark, d, "documents")).shares()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_entities, p4_found, p4_codes, p7_found, p7_forms, p8_ids, p9_containers, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_entities, p4_found, p4_codes, p7_found, p7_forms, p8_ids, p9_containers, p10_found, p10_links, p10_members, p10_shares)}
 SQL: dict[str, str] = {}

@@ -89,37 +89,11 @@ def _anchor_rows(span: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], I
     return run
 
 
-def _repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in order of hash and text: those of hashes that stand in more than one text. Holds the rows of one text at most
-    while a hash has shown only that one."""
-    held: list[pd.DataFrame] = []
-    key = text = None
-    open_ = False  # whether the current hash has shown two texts
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        h, t = pdf["hash"].to_numpy(), pdf["tid"].to_numpy()
-        cut = np.flatnonzero(h[1:] != h[:-1]) + 1
-        start, end = np.concatenate(([0], cut)), np.concatenate((cut, [len(h)]))
-        two = t[start] != t[end - 1]
-        if h[0] == key:
-            if open_ or t[0] != text or two[0]:
-                two[0] = True
-                yield from held
-                held, open_ = [], True
-        else:
-            held = []
-        last = len(start) - 1
-        keep = np.repeat(two, end - start)
-        if keep.any():
-            yield pdf[keep]
-        if not two[last]:
-            rest = pdf.iloc[start[last] :]
-            held = [*held, rest] if last == 0 and h[0] == key else [rest]
-        else:
-            held = []
-        open_ = bool(two[last]) or (last == 0 and h[0] == key and open_)
-        key, text = h[-1], t[-1]
+def shared_keys(rows: DataFrame, key: str, by: str) -> DataFrame:
+    """key, n: the keys that stand with more than one ``by``, and their number of rows. Counted with partial sums, so that a key that a
+    third of all rows hold is one row a task."""
+    g = rows.groupBy(key).agg(F.min(by).alias("lo"), F.max(by).alias("hi"), F.count("*").alias("n"))
+    return g.where("lo != hi").select(key, "n")
 
 
 def _surroundings(span: int, gram: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -149,9 +123,17 @@ def common(a: str, b: str) -> int:
     return lo
 
 
-def _linker(span: int, gram: int, limit: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Rows in order of key: surroundings (cls, l, ctx, t0, t1) that agree in nearly what a span needs. Emits links x, y with
-    the equal characters left and right of the window, or, from a group beyond ``limit``, each exact span by its hash (y null)."""
+LINK = "kind string, x long, y long, a int, b int, span long"
+
+
+def _links(rows: list[tuple]) -> pd.DataFrame:
+    df = pd.DataFrame(rows, columns=["kind", "x", "y", "a", "b", "span"], dtype=object)
+    return df.astype({"x": "Int64", "y": "Int64", "a": "Int64", "b": "Int64", "span": "Int64"})  # never through floats, which would round ids
+
+
+def _compared(span: int, gram: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows in order of key: surroundings (cls, l, ctx, t0, t1) that agree in nearly what a span needs, few under each key. Links x, y
+    with the equal characters left and right of the window."""
     side = span - gram
 
     def pairs(group: list[tuple]) -> Iterator[tuple]:
@@ -164,45 +146,38 @@ def _linker(span: int, gram: int, limit: int) -> Callable[[Iterator[pd.DataFrame
                 a = common(xi[:li][::-1], xj[:lj][::-1])
                 b = common(xi[li + gram :], xj[lj + gram :])
                 if a + b >= side:
-                    yield ("pair", ci, cj, a, b)
-
-    def spans(row: tuple) -> Iterator[tuple]:
-        c, l, x, _, _ = row
-        for s in range(max(0, l - side), min(l, len(x) - span) + 1):
-            yield ("span", c, None, l - s, side - (l - s)), xxhash.xxh3_64_intdigest(x[s : s + span].encode("utf-8", "surrogatepass")) - (1 << 63)
-
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        df = pd.DataFrame(rows, columns=["kind", "x", "y", "a", "b", "span"], dtype=object)
-        return df.astype({"x": "Int64", "y": "Int64", "a": "Int64", "b": "Int64", "span": "Int64"})  # never through floats, which would round ids
+                    yield ("pair", ci, cj, a, b, None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, group, big, out = None, [], False, []
-
-        def flush() -> None:
-            if not big:
-                out.extend((*p, None) for p in pairs(group))
-
+        key, group, out = None, [], []
         for pdf in batches:
-            for k, c, l, x, t0, t1 in zip(pdf["key"], pdf["cls"], pdf["l"], pdf["ctx"], pdf["t0"], pdf["t1"], strict=True):
+            for k, *row in zip(pdf["key"], pdf["cls"], pdf["l"], pdf["ctx"], pdf["t0"], pdf["t1"], strict=True):
                 if k != key:
-                    flush()
-                    key, group, big = k, [], False
-                row = (c, l, x, t0, t1)
-                if big:
-                    out.extend((*p, w) for p, w in spans(row))
-                else:
-                    group.append(row)
-                    if len(group) > limit:
-                        big = True
-                        for r in group:
-                            out.extend((*p, w) for p, w in spans(r))
-                        group = []
+                    out.extend(pairs(group))
+                    key, group = k, []
+                group.append(tuple(row))
             if out:
-                yield frame(out)
-                out.clear()
-        flush()
+                yield _links(out)
+                out = []
+        out.extend(pairs(group))
         if out:
-            yield frame(out)
+            yield _links(out)
+
+    return run
+
+
+def _listed(span: int, gram: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Surroundings (cls, l, ctx) of keys that hold many, in any order: each exact span around the window by its hash (y null)."""
+    side = span - gram
+
+    def spans(c: int, l: int, x: str) -> Iterator[tuple]:
+        for s in range(max(0, l - side), min(l, len(x) - span) + 1):
+            yield ("span", c, None, l - s, side - (l - s), xxhash.xxh3_64_intdigest(x[s : s + span].encode("utf-8", "surrogatepass")) - (1 << 63))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield _links([w for c, l, x in zip(pdf["cls"], pdf["l"], pdf["ctx"], strict=True) for w in spans(c, l, x)])
 
     return run
 
@@ -212,11 +187,11 @@ class SharedSpans:
 
     1. Copies of a whole text are one text id (``tid``, 64-bit hash); text ids, not copies, meet from here on. 2. Rabin-Karp
     hashes of every window of ``gram`` characters; ``anchors`` keeps those that must be shared if a span is. 3. They are
-    brought together by hash and those in one text only are dropped, in a sorted pass that holds no group. 4. What stands
+    counted by hash with partial sums, and those in one text only are dropped. 4. What stands
     around a repeated window (span - gram characters on either side) decides: equal surroundings are one class; classes
     that agree in nearly all of the missing characters (``STEPS`` keys, one for each way to divide them between the sides)
-    are compared; groups of more than ``limit`` such classes are not compared but counted by exact span. Both ways are exact,
-    and a phrase of many documents that is too short for a span brings nothing together. 5. A class is covered from its farthest agreement on the
+    are compared; keys of more than ``limit`` such classes are not compared, nor brought into one task, but their exact spans are
+    counted. Both ways are exact, and a phrase of many documents that is too short for a span brings nothing together. 5. A class is covered from its farthest agreement on the
     left to that on the right; the union of covered ranges of a text is exactly its shared part.
 
     Null texts and texts shorter than ``span`` share nothing, rows without an id neither. Repeated ids of one text are one record.
@@ -228,11 +203,10 @@ class SharedSpans:
         base = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
         long = base.where(F.col("doc").isNotNull() & (F.length("text") >= span)).withColumn("tid", F.xxhash64("text"))
         self.lengths = base.select("doc", F.length("text").alias("n_chars"))
-        self.members = long.select("tid", "doc", F.length("text").alias("n")).distinct()
+        self.members_ = long.select("tid", "doc", F.length("text").alias("n")).distinct()
         rows = long.select("tid", "text").mapInArrow(_anchor_rows(span, gram), "hash long, tid long, pos int")
-        again = rows.repartition("hash").sortWithinPartitions("hash", "tid", "pos").mapInPandas(_repeated, "hash long, tid long, pos int").distinct()
-        occ = checkpointed(again)
-        one = self.members.groupBy("tid").agg(F.min("doc").alias("doc"))
+        occ = checkpointed(rows.join(shared_keys(rows, "hash", "tid"), "hash", "left_semi").distinct())
+        one = self.members_.groupBy("tid").agg(F.min("doc").alias("doc"))
         wanted = occ.groupBy("tid").agg(F.collect_list(F.struct("hash", "pos")).alias("occ")).join(one, "tid")
         around = wanted.join(long.select("doc", "text"), "doc").select("tid", "text", "occ").mapInPandas(_surroundings(span, gram), "hash long, tid long, pos int, l int, ctx string")
         around = around.withColumn("cls", F.xxhash64("hash", "l", "ctx"))
@@ -244,11 +218,11 @@ class SharedSpans:
             need = max(0, side - r - step + 1) if r + step < side else 0
             keys.append(F.when((F.col("l") >= need) & (right >= r), F.xxhash64("hash", F.lit(r), F.col("ctx").substr(F.col("l") - need + 1, F.lit(need + gram + r)))))
         cls = checkpointed(cls)
-        asked = cls.select(F.explode(F.array_compact(F.array(*keys))).alias("hash"), F.col("cls").alias("tid"), F.lit(0).alias("pos"))
-        met = asked.repartition("hash").sortWithinPartitions("hash", "tid").mapInPandas(_repeated, "hash long, tid long, pos int").distinct()
-        order = met.select(F.col("hash").alias("key"), F.col("tid").alias("cls")).join(cls.select("cls", "l", "ctx", "t0", "t1"), "cls")
-        order = order.repartition("key").sortWithinPartitions("key", "cls")
-        links = checkpointed(order.mapInPandas(_linker(span, gram, limit), "kind string, x long, y long, a int, b int, span long"))
+        asked = cls.select(F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"), "cls")
+        met = asked.join(shared_keys(asked, "key", "cls"), "key").join(cls.select("cls", "l", "ctx", "t0", "t1"), "cls")
+        few = met.where(F.col("n") <= limit).repartition("key").sortWithinPartitions("key", "cls").mapInPandas(_compared(span, gram), LINK)
+        many = met.where(F.col("n") > limit).select("cls", "l", "ctx").distinct().mapInPandas(_listed(span, gram), LINK)
+        links = checkpointed(few.unionByName(many))
         counted = links.where("kind = 'span'").select(F.xxhash64("span", "a").alias("key"), "x", "a", "b").distinct()
         self.links = links.where("kind = 'pair'").select("x", "y", "a", "b")
         self.classes = cls.select("cls", "l", right.alias("r"), "t0", "t1")
@@ -267,9 +241,21 @@ class SharedSpans:
         cross = both.join(m.select(F.col("cls").alias("x"), F.col("tid").alias("p")), "x").join(m.select(F.col("cls").alias("y"), F.col("tid").alias("q")), "y").select("p", "q")
         return same.unionByName(cross).where("p != q").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
 
+    def members(self) -> DataFrame:
+        """doc_id, rep: every record with a text of at least ``span`` characters and the record that stands for all with the same text."""
+        one = self.members_.groupBy("tid").agg(F.min("doc").alias("rep"))
+        return self.members_.join(one, "tid").select(F.col("doc").alias("doc_id"), "rep").distinct()
+
+    def links_of_representatives(self) -> DataFrame:
+        """rep_a, rep_b (a < b): the representatives of different texts that share a span; no copy is expanded."""
+        one = self.members_.groupBy("tid").agg(F.min("doc").alias("doc"))
+        x, y = one.select(F.col("tid").alias("p"), F.col("doc").alias("a")), one.select(F.col("tid").alias("q"), F.col("doc").alias("b"))
+        t = self.text_pairs().join(x, "p").join(y, "q").where("a != b")
+        return t.select(F.least("a", "b").alias("rep_a"), F.greatest("a", "b").alias("rep_b")).distinct()
+
     def pairs(self) -> DataFrame:
         """doc_id_a, doc_id_b (a < b): records that share a span; copies of whole texts are expanded here, at the very end."""
-        m = self.members.select("tid", "doc").distinct()
+        m = self.members_.select("tid", "doc").distinct()
         x = m.select(F.col("tid").alias("p"), F.col("doc").alias("a"))
         y = m.select(F.col("tid").alias("q"), F.col("doc").alias("b"))
         other = self.text_pairs().join(x, "p").join(y, "q").select("a", "b")
@@ -293,8 +279,8 @@ class SharedSpans:
     def shares(self) -> DataFrame:
         """doc_id, n_chars, shared_chars, share of every record: what of it stands elsewhere; a copied text is shared whole."""
         part = self.ranges().groupBy("tid").agg(F.sum(F.col("end") - F.col("start")).alias("part"))
-        count = self.members.groupBy("tid").agg(F.count("*").alias("copies"))
-        m = self.members.join(count, "tid").join(part, "tid", "left")
+        count = self.members_.groupBy("tid").agg(F.count("*").alias("copies"))
+        m = self.members_.join(count, "tid").join(part, "tid", "left")
         m = m.groupBy("doc").agg(F.max(F.when(F.col("copies") > 1, F.col("n")).otherwise(F.coalesce("part", F.lit(0)))).alias("shared"))
         out = self.lengths.join(m, "doc", "left").select(F.col("doc").alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), F.coalesce("shared", F.lit(0)).cast("long").alias("shared_chars"))
         return out.withColumn("share", F.when(F.col("n_chars") > 0, F.col("shared_chars") / F.col("n_chars")).otherwise(0.0))

@@ -47,6 +47,12 @@ def test_against_brute_force(spark, seed, limit):
     s = SharedSpans(spark.createDataFrame(rows, S), span=span, gram=9, limit=limit)
     pairs, cover = brute(rows, span)
     assert {tuple(r) for r in s.pairs().collect()} == pairs
+    group = {}
+    for r in s.members().collect():
+        group.setdefault(r["rep"], set()).add(r["doc_id"])
+    links = {tuple(r) for r in s.links_of_representatives().collect()}
+    whole = {(a, b) for m in group.values() for a in m for b in m} | {p for x, y in links for a in group[x] for b in group[y] for p in ((a, b), (b, a))}
+    assert {(a, b) for a, b in whole if a < b} == pairs and all(min(m) == k for k, m in group.items())
     got = {r["doc_id"]: r["shared_chars"] for r in s.shares().collect()}
     assert got == {i: cover.get(i, 0) for i, *_ in rows}
 
