@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kronolit.operators.intervals import bucketed_interval_join
+
 
 @dataclass(frozen=True)
 class Register:
@@ -29,15 +31,17 @@ class Register:
         """Each (entity, event_day) with n_rows, first_day, last_day and the sums ``measures`` (name -> column) of the rows
         visible at the end of that day whose valid day lies in the ``lookback`` days before it.
 
-        Rows are first added up per (entity, valid day, day of appearing, day of vanishing). The join then meets, for each
-        event, at most one row per such combination in the window, whatever the number of register rows of the entity.
+        Rows are first added up per (entity, valid day, day of appearing, day of vanishing), so that the number of register rows
+        of an entity does not matter; the sums meet the events by time bucket.
         """
         start, end = F.to_date(self.visible_from), F.to_date(self.visible_until)
         cells = self.rows.where(F.col(self.valid).isNotNull() & F.col(self.visible_from).isNotNull()).groupBy(F.col(self.entity).alias("_e"), F.col(self.valid).cast("date").alias("_v"), start.alias("_s"), end.alias("_u"))
         cells = cells.agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_m_{m}") for m, c in measures.items()])
-        ev = events.select(F.col(self.entity), F.col(event_day)).dropna().distinct()
-        inside = (F.col("_v") >= F.date_sub(F.col(event_day), lookback)) & (F.col("_v") <= F.col(event_day)) & (F.col("_s") <= F.col(event_day)) & (F.col("_u").isNull() | (F.col("_u") > F.col(event_day)))
-        j = ev.join(cells, (F.col(self.entity) == F.col("_e")) & inside)
+        # a cell counts from when it has happened and appeared until it vanishes or is too old: one interval, joined by bucket
+        over = F.date_add("_v", lookback + 1)
+        cells = cells.withColumns({"_from": F.greatest("_v", "_s"), "_to": F.least(over, F.coalesce("_u", over))}).drop("_s", "_u").withColumnRenamed("_e", self.entity)
+        ev = events.select(F.col(self.entity), F.col(event_day).cast("date").alias(event_day)).dropna().distinct()
+        j = bucketed_interval_join(ev, cells, self.entity, event_day, "_from", "_to", width=max(32, lookback // 4))
         return j.groupBy(self.entity, event_day).agg(F.sum("_n").alias("n_rows"), F.min("_v").alias("first_day"), F.max("_v").alias("last_day"), *[F.sum(f"_m_{m}").alias(m) for m in measures])
 
 
@@ -102,22 +106,26 @@ def _link_groups(weights: list[float]):  # noqa: ANN202
     return run
 
 
-def link_revisions(rows: DataFrame, keys: list[str], published: str, amendment: str, row_id: str, weights: dict[str, float], least: Column | None = None) -> DataFrame:
+def link_revisions(rows: DataFrame, keys: list[str], published: str, amendment: str, row_id: str, weights: dict[str, float], least: Column | None = None, needed: tuple[str, ...] = ()) -> DataFrame:
     """row_id, linked_to, score, ambiguous of every amendment: the earlier row of its keys that it replaces, one to one.
 
     Amendments are taken in order of publication; each takes, of the rows published strictly before it that none has taken,
     the one with the greatest sum of weights of equal columns (null equals nothing); a tie goes to the latest and is marked.
     A tie in publication too is marked, links nothing and takes no row. ``least``: the sum that a row demands of the amendment
-    that is to replace it (default and null: 0). Without a candidate linked_to is null. Null keys are equal. Only rows whose keys have an amendment take part; copies of a
+    that is to replace it (default and null: 0). Without a candidate linked_to is null. Null keys are equal, but rows that lack one of
+    ``needed`` are of no group: they link to nothing and do not come out. Only rows whose keys have an amendment take part; copies of a
     row differ in row_id. What is held is the rows of one key, here one person's filings for one day of one issuer.
     """
-    return _links(rows, keys, published, amendment, row_id, weights, least).select(*LINK[:4])
+    return _links(rows, keys, published, amendment, row_id, weights, least, needed).select(*LINK[:4])
 
 
-def _links(rows: DataFrame, keys: list[str], published: str, amendment: str, row_id: str, weights: dict[str, float], least: Column | None) -> DataFrame:
+def _links(rows: DataFrame, keys: list[str], published: str, amendment: str, row_id: str, weights: dict[str, float], least: Column | None, needed: tuple[str, ...] = ()) -> DataFrame:
     """``link_revisions`` with the publication of the amendment and of the first row of its chain."""
     k = F.struct(*keys)
-    pool = rows.where(F.col(published).isNotNull() & F.col(row_id).isNotNull()).withColumn("k", F.sha2(F.to_json(k, {"ignoreNullFields": "false"}), 256))
+    pool = rows.where(F.col(published).isNotNull() & F.col(row_id).isNotNull())
+    for c in needed:
+        pool = pool.where(F.col(c).isNotNull())
+    pool = pool.withColumn("k", F.sha2(F.to_json(k, {"ignoreNullFields": "false"}), 256))
     pool = pool.join(pool.where(F.col(amendment)).select("k").distinct(), "k", "left_semi")
     cols = [F.col(c).cast("string").alias(f"v{i}") for i, c in enumerate(weights)]
     lean = pool.select("k", F.col(row_id).alias("rid"), F.col(published).alias("t"), F.coalesce(F.col(amendment), F.lit(False)).alias("a"), F.coalesce(F.lit(0.0) if least is None else least.cast("double"), F.lit(0.0)).alias("m"), *cols)
@@ -125,7 +133,7 @@ def _links(rows: DataFrame, keys: list[str], published: str, amendment: str, row
     return lean.repartition("k").sortWithinPartitions("k", "t", "rid").mapInPandas(_link_groups(list(weights.values())), f"row_id long, linked_to long, score double, ambiguous boolean, published {tt}, first {tt}")
 
 
-def with_linked_visibility(rows: DataFrame, keys: list[str], published: str, amendment: str, row_id: str, weights: dict[str, float], least: Column | None = None, revised: Column | None = None, person: list[str] | None = None, first_publication: bool = False) -> DataFrame:
+def with_linked_visibility(rows: DataFrame, keys: list[str], published: str, amendment: str, row_id: str, weights: dict[str, float], least: Column | None = None, revised: Column | None = None, person: list[str] | None = None, first_publication: bool = False, needed: tuple[str, ...] = ()) -> DataFrame:
     """``rows`` with visible_from and visible_until: a row is superseded when the one amendment that ``link_revisions`` links to
     it is published; all other rows of its keys stay visible.
 
@@ -133,7 +141,7 @@ def with_linked_visibility(rows: DataFrame, keys: list[str], published: str, ame
     ``person`` (key columns; a null is no person), and are never visible without one. ``first_publication``: visible from the
     first row of their chain. Rows without a publication time are never visible and supersede nothing. ``row_id`` is unique.
     """
-    links = _links(rows, keys, published, amendment, row_id, weights, least)
+    links = _links(rows, keys, published, amendment, row_id, weights, least, needed)
     until = links.where(F.col("linked_to").isNotNull()).select(F.col("linked_to").alias("_id"), F.col("published").alias("visible_until"))
     out = rows.join(until, F.col(row_id) == F.col("_id"), "left").drop("_id")
     if revised is not None:

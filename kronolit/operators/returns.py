@@ -12,14 +12,20 @@ def sessions(bench: DataFrame, day: str = "day", close: str = "close") -> DataFr
     return d.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("day")) - 1).alias("n"), "day", "bench")
 
 
-def panel(bars: DataFrame, cal: DataFrame, key: str, day: str, close: str, stale: int) -> DataFrame:
-    """key, n, back, back_n, fore, fore_n: for every session the last bar at or before it and the first at or after it, with
-    the session each belongs to, no more than ``stale`` sessions away. A bar reaches ``stale`` sessions each way, so bars are
-    exploded by a constant and no key is filled over the whole calendar."""
-    b = bars.where(F.col(close) > 0).groupBy(F.col(key).alias("key"), F.col(day).cast("date").alias("day")).agg(F.max(close).alias("c")).join(cal.select("n", "day"), "day").select("key", F.col("n").alias("at"), "c")
-    back = b.select("key", "at", "c", F.explode(F.sequence(F.col("at"), F.col("at") + stale)).alias("n")).groupBy("key", "n").agg(F.max(F.struct("at", "c")).alias("b"))
-    fore = b.select("key", "at", "c", F.explode(F.sequence(F.greatest(F.col("at") - stale, F.lit(0)), F.col("at"))).alias("n")).groupBy("key", "n").agg(F.min(F.struct("at", "c")).alias("f"))
-    return back.join(fore, ["key", "n"], "full").select("key", "n", F.col("b.c").alias("back"), F.col("b.at").alias("back_n"), F.col("f.c").alias("fore"), F.col("f.at").alias("fore_n"))
+def day_sessions(cal: DataFrame) -> DataFrame:
+    """d, n: every calendar day from the first session to the last with the last session on or before it; one row a day."""
+    to = F.coalesce(F.date_sub(F.lead("day").over(Window.partitionBy(F.lit(0)).orderBy("day")), 1), F.col("day"))
+    return cal.select("n", "day", to.alias("_to")).select("n", F.explode(F.sequence("day", "_to")).alias("d"))
+
+
+def _bars_at(asked: DataFrame, bars: DataFrame, session: str, first: bool, stale: int, names: tuple[str, str]) -> DataFrame:
+    """key, session, close and session (``names``) of the first bar from the session on, or the last up to it, no more than ``stale``
+    sessions away. The distinct sessions that are asked for are exploded, not the bars."""
+    n = F.col(session)
+    reach = F.sequence(n, n + stale) if first else F.sequence(n - stale, n)
+    q = asked.select("key", session).dropna().distinct().select("key", session, F.explode(reach).alias("at"))
+    hit = q.join(bars, ["key", "at"]).groupBy("key", session).agg((F.min if first else F.max)(F.struct("at", "c")).alias("b"))
+    return hit.select("key", session, F.col("b.c").alias(names[0]), F.col("b.at").alias(names[1]))
 
 
 def event_returns(events: DataFrame, bars: DataFrame, bench: DataFrame, *, event_id: str, key: str, event_day: str, day: str, close: str, bench_day: str = "day", bench_close: str = "close", horizons: tuple[int, ...] = (1, 3, 6), stale: int = 1, artefact: float = 5.0) -> DataFrame:
@@ -32,25 +38,21 @@ def event_returns(events: DataFrame, bars: DataFrame, bench: DataFrame, *, event
     market goes from the entry bar's session to the exit session. Null keys or days have NO_HISTORY or TOO_RECENT.
     """
     cal = sessions(bench, bench_day, bench_close)
-    last = cal.agg(F.max("n")).first()[0]
-    last = -1 if last is None else last
-    cl = F.lead("day").over(Window.partitionBy(F.lit(0)).orderBy("day"))
-    nxt = cal.select(F.col("day").alias("_from"), cl.alias("_to"), (F.col("n") + 1).alias("i0"))
-    first = cal.agg(F.min("day")).first()[0]
+    days = day_sessions(cal)
     e = events.select(F.col(event_id).alias("event_id"), F.col(key).alias("key"), F.col(event_day).cast("date").alias("d"))
-    days = e.select("d").where("d is not null").distinct()
-    place = days.join(F.broadcast(nxt), (F.col("d") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("d") < F.col("_to"))), "left").select("d", F.coalesce("i0", F.when(F.col("d") < F.lit(first), 0)).alias("i0"))
-    e = e.join(place, "d", "left").withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons]))).withColumn("i1", F.col("i0") + F.col("horizon"))
-    p = panel(bars, cal, key, day, close, stale)
+    e = e.join(F.broadcast(days), "d", "left")  # the calendar: one row a day
+    before = F.col("d") < cal.agg(F.min("day")).scalar()
+    e = e.withColumn("i0", F.coalesce(F.col("n") + 1, F.when(before, 0))).drop("n")
+    e = e.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons]))).withColumn("i1", F.col("i0") + F.col("horizon"))
+    b = bars.where(F.col(close) > 0).groupBy(F.col(key).alias("key"), F.col(day).cast("date").alias("day")).agg(F.max(close).alias("c")).join(F.broadcast(cal.select("n", "day")), "day").select("key", F.col("n").alias("at"), "c")
     known = bars.where(F.col(close) > 0).select(F.col(key).alias("key")).distinct().withColumn("_known", F.lit(True))
-    ent = p.select("key", F.col("n").alias("i0"), F.col("fore").alias("c0"), F.col("fore_n").alias("n0"))
-    ext = p.select("key", F.col("n").alias("i1"), F.col("back").alias("c1"), F.col("back_n").alias("n1"))
-    e = e.join(ent, ["key", "i0"], "left").join(ext, ["key", "i1"], "left").join(known, "key", "left")
-    small = F.broadcast(cal.select("n", "bench"))  # the calendar: one row a session
+    e = e.join(_bars_at(e, b, "i0", True, stale, ("c0", "n0")), ["key", "i0"], "left").join(_bars_at(e, b, "i1", False, stale, ("c1", "n1")), ["key", "i1"], "left").join(known, "key", "left")
+    last = cal.agg(F.max("n")).scalar()
+    small = F.broadcast(cal.select("n", "bench"))  # one row a session
     e = e.join(small.withColumnsRenamed({"n": "_n0", "bench": "b0"}), F.col("n0") == F.col("_n0"), "left").join(small.withColumnsRenamed({"n": "_n1", "bench": "b1"}), F.col("i1") == F.col("_n1"), "left")
     r, m = F.col("c1") / F.col("c0") - 1, F.col("b1") / F.col("b0") - 1
     status = (
-        F.when(F.col("i0").isNull() | (F.col("i1") > last), "TOO_RECENT").when(F.col("_known").isNull(), "NO_HISTORY").when(F.col("c0").isNull(), "NO_ENTRY_BAR")
+        F.when(F.col("i0").isNull() | last.isNull() | (F.col("i1") > last), "TOO_RECENT").when(F.col("_known").isNull(), "NO_HISTORY").when(F.col("c0").isNull(), "NO_ENTRY_BAR")
         .when(F.col("c1").isNull() | (F.col("n1") <= F.col("n0")), "ENDED_IN_WINDOW").when(F.abs(r) > artefact, "ARTEFACT").otherwise("OK")
     )
     e = e.withColumn("status", status)
@@ -69,9 +71,8 @@ def shifted_events(events: DataFrame, bench: DataFrame, event_day: str, by: int,
     """``events`` moved ``by`` sessions (negative: earlier) along the benchmark's calendar, from the last session on or before their day; events that
     leave the calendar are left out. The calendar has one row a session and is broadcast."""
     cal = sessions(bench, day, close)
-    span = cal.select("n", F.col("day").alias("_from"), F.lead("day").over(Window.partitionBy(F.lit(0)).orderBy("day")).alias("_to"))
-    to = cal.select((F.col("n") - by).alias("n"), F.col("day").alias("_moved"))
-    place = span.join(to, "n").select("_from", "_to", "_moved")
-    days = events.select(F.col(event_day).cast("date").alias("_d")).where(F.col("_d").isNotNull()).distinct()
-    moved = days.join(F.broadcast(place), (F.col("_d") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("_d") < F.col("_to")))).select("_d", "_moved")
-    return events.join(moved, F.col(event_day).cast("date") == F.col("_d")).withColumn(event_day, F.col("_moved")).drop("_d", "_moved")
+    moved = day_sessions(cal).join(cal.select((F.col("n") - by).alias("n"), F.col("day").alias("_moved")), "n").select(F.col("d").alias("_d"), "_moved")
+    # the calendar's last session stands for all later days
+    end = cal.agg(F.max("day")).scalar()
+    on = F.least(F.col(event_day).cast("date"), end)
+    return events.where(F.col(event_day).isNotNull()).join(F.broadcast(moved), on == F.col("_d")).withColumn(event_day, F.col("_moved")).drop("_d", "_moved")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -52,19 +53,22 @@ def window_distinct(rows: DataFrame, key: str, who: str, day: str, days: int, le
 
 
 def find_window(rows: list[tuple], least: int, days: int) -> int | None:
-    """The earliest anchor day (ordinal) with ``least`` distinct persons in [day, day + days]; rows (ordinal day, person) sorted."""
-    count: dict[str, int] = {}
-    end = 0
-    for i, (d, p) in enumerate(rows):
-        while end < len(rows) and rows[end][0] <= d + days:
-            count[rows[end][1]] = count.get(rows[end][1], 0) + 1
-            end += 1
-        if len(count) >= least:
-            return d
-        count[p] -= 1
-        if not count[p]:
-            del count[p]
-    return None
+    """The earliest anchor day (ordinal) with ``least`` distinct persons in [day, day + days]; rows (ordinal day, person) sorted.
+
+    Anchors are tried from the last to the first. Of each person only the next day on or after the anchor matters; these days are
+    kept in order, so that the ``least``-th of them tells whether a window is full.
+    """
+    coming: dict[str, int] = {}
+    days_of: list[int] = []
+    found = None
+    for day, person in reversed(rows):
+        if person in coming:
+            del days_of[bisect_left(days_of, coming[person])]
+        coming[person] = day
+        insort(days_of, day)  # no other is earlier
+        if len(days_of) >= least and days_of[least - 1] <= day + days:
+            found = day
+    return found
 
 
 def episode_end(anchor: int, last: int, days: int, end: str) -> int:

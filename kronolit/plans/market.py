@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from kronolit.operators import relational as rel
 from kronolit.operators.asof import asof_backward, nearest_peer
+from kronolit.operators.intervals import bucketed_interval_join
 from kronolit.operators.identity import apply_rules, merge_rules
 from kronolit.operators.returns import event_returns, shifted_events
 from kronolit.operators.segments import factor_at, scale_segments
 from kronolit.operators.sequence import cooldown
 from kronolit.operators.stats import t_clustered, t_iid
-from kronolit.session import table
+from kronolit.session import checkpointed, table
 
 HORIZONS = (21, 63, 126)
 
@@ -49,8 +50,8 @@ def brand_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _brand_returns(spark: SparkSession, d: str, shift: int = 0) -> DataFrame:
-    bars = brand_bars(spark, d)
-    bench, ev = _bench(bars), _brand_events(spark, d)
+    bars = checkpointed(brand_bars(spark, d))  # read by the events, the calendar and the benchmark
+    bench, ev = checkpointed(_bench(bars)), _brand_events(spark, d)
     if shift:
         ev = shifted_events(ev, bench, "day", shift)
     return event_returns(ev, bars, bench, event_id="event_id", key="brand", event_day="day", day="day", close="close", bench_day="day", horizons=HORIZONS, stale=5)
@@ -123,11 +124,11 @@ def trade_scales(spark: SparkSession, d: str) -> DataFrame:
 def share_growth(spark: SparkSession, d: str) -> DataFrame:
     """Share counts against the point 180 to 700 days older that is nearest to a year (the earlier on a tie)."""
     s = table(spark, d, "mcap_points").where("shares > 0 and issuer_key is not null").groupBy("issuer_key", "as_of_day").agg(F.max("shares").alias("shares"))
-    old = s.select(F.col("issuer_key").alias("_k"), F.col("as_of_day").alias("_d"), F.col("shares").alias("_s"))
+    old = s.select("issuer_key", F.col("as_of_day").alias("_d"), F.col("shares").alias("_old"), F.date_add("as_of_day", 180).alias("_from"), F.date_add("as_of_day", 701).alias("_to"))
+    j = bucketed_interval_join(s, old, "issuer_key", "as_of_day", "_from", "_to", width=180)
     age = F.datediff("as_of_day", "_d")
-    j = s.join(old, (F.col("issuer_key") == F.col("_k")) & age.between(180, 700))
-    best = j.groupBy("issuer_key", "as_of_day").agg(F.first("shares").alias("shares"), F.min(F.struct(F.abs(age - 365).alias("gap"), "_d", "_s")).alias("b"))
-    return _rounded(best.select("issuer_key", "as_of_day", (F.col("shares") / F.col("b._s") - 1).alias("growth")))
+    best = j.groupBy("issuer_key", "as_of_day").agg(F.first("shares").alias("shares"), F.min(F.struct(F.abs(age - 365).alias("gap"), "_d", "_old")).alias("b"))
+    return _rounded(best.select("issuer_key", "as_of_day", (F.col("shares") / F.col("b._old") - 1).alias("growth")))
 
 
 def trade_rhythm(spark: SparkSession, d: str) -> DataFrame:

@@ -178,7 +178,7 @@ def _least_score() -> Column:
 
 
 def revision_links(spark: SparkSession, d: str) -> DataFrame:
-    return link_revisions(_txns(spark, d), KEYS, "published_at", "is_amendment", "row_id", LINK_WEIGHTS, _least_score())
+    return link_revisions(_txns(spark, d), KEYS, "published_at", "is_amendment", "row_id", LINK_WEIGHTS, _least_score(), needed=("issuer_key", "name_key"))
 
 
 def _splits(points: DataFrame) -> DataFrame:
@@ -236,7 +236,7 @@ def _linked_register(spark: SparkSession, d: str, first: bool = False) -> Regist
     cancelled = F.coalesce(F.col("status_raw").isin("Makulerad", "Cancelled"), F.lit(False))
     t = _txns(spark, d).withColumn("_amends", F.col("is_amendment") & ~cancelled)
     least = F.when(cancelled, float("inf")).otherwise(_least_score())
-    return Register(with_linked_visibility(t, KEYS, "published_at", "_amends", "row_id", LINK_WEIGHTS, least, F.col("status_raw").isin("Reviderad", "Revised"), KEYS[:2], first))
+    return Register(with_linked_visibility(t, KEYS, "published_at", "_amends", "row_id", LINK_WEIGHTS, least, F.col("status_raw").isin("Reviderad", "Revised"), KEYS[:2], first, needed=("issuer_key", "name_key")))
 
 
 def linked_as_seen(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,9 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back, so a lost executor costs no recomputation.
 
-    The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset (local tests) a temporary one is made.
+    The folder is ``spark.checkpoint.dir`` of the session. Where that is unset, a temporary one is made if all of Spark runs in this
+    machine (master local); a cluster has to name a folder that all its machines share.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix=f"kronolit-{os.getpid()}-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: a cluster needs a shared folder for checkpoints")
+        if not folder:
+            folder = tempfile.mkdtemp(prefix=f"kronolit-{os.getpid()}-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -24,25 +24,33 @@ def windows(start: dt.date, end: dt.date, days: int = 10) -> Iterator[tuple[dt.d
 
 
 class WindowFetcher:
-    """``fetch(start, end)`` gives the rows of a window. The rows come back in order of day; ``log`` tells each request."""
+    """``fetch(start, end)`` gives the rows of a window of days. ``range`` gives all rows in order of day; ``log`` tells each request.
+
+    What is still to be asked for lies on a stack of windows, the earliest on top. An answer that reaches ``cap`` may be cut, so
+    its window goes back as two.
+    """
 
     def __init__(self, fetch: Callable[[dt.date, dt.date], list], cap: int = 1000, budget: int = 20, pause: float = 0.0, days: int = 10) -> None:
         self.fetch, self.cap, self.budget, self.pause, self.days = fetch, cap, budget, pause, days
         self.log: list[tuple[dt.date, dt.date, int]] = []
 
-    def _window(self, start: dt.date, end: dt.date) -> list:
-        if len(self.log) >= self.budget:
-            raise BudgetSpent(f"{self.budget} requests made; {start} to {end} is open")
-        if self.log and self.pause:
-            time.sleep(self.pause)
-        rows = self.fetch(start, end)
-        self.log.append((start, end, len(rows)))
-        if len(rows) < self.cap:
-            return rows
-        if start == end:
-            raise ExportFull(f"{start}: {len(rows)} rows reach the cap of {self.cap}")
-        half = start + (end - start) // 2
-        return self._window(start, half) + self._window(half + dt.timedelta(days=1), end)
+    def _ask(self, window: tuple[dt.date, dt.date]) -> list:
+        if len(self.log) == self.budget:
+            raise BudgetSpent(f"{self.budget} requests made; {window[0]} to {window[1]} is open")
+        time.sleep(self.pause if self.log else 0)
+        rows = self.fetch(*window)
+        self.log.append((*window, len(rows)))
+        return rows
 
     def range(self, start: dt.date, end: dt.date) -> list:
-        return [r for a, b in windows(start, end, self.days) for r in self._window(a, b)]
+        todo, got = list(windows(start, end, self.days))[::-1], []
+        while todo:
+            first, last = window = todo.pop()
+            rows = self._ask(window)
+            if len(rows) < self.cap:
+                got += rows
+            elif first == last:
+                raise ExportFull(f"{first}: {len(rows)} rows reach the cap of {self.cap}")
+            else:
+                todo += list(windows(first, last, ((last - first).days + 2) // 2))[::-1]
+        return got
