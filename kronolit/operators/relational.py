@@ -59,3 +59,8 @@ def repeated_rows(df: DataFrame, fields: list[str]) -> DataFrame:
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int = 1) -> DataFrame:
     """The first k rows of each group in a total order."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= k).drop("_n")
+
+
+def seeded_sample(df: DataFrame, row_id: str, n: int, seed: int) -> DataFrame:
+    """``n`` rows in the order of a hash of seed and id: the same rows wherever and however often the table is read."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col(row_id).cast("string"))), row_id).limit(n)

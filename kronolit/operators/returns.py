@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kronolit.operators.asof import asof_backward, asof_forward
+from kronolit.operators.intervals import bucketed_interval_join
+from kronolit.operators.sequence import factor_after
+
 
 def sessions(bench: DataFrame, day: str = "day", close: str = "close") -> DataFrame:
     """n (from 0), day, bench: the sessions of the calendar. One benchmark's days, so the numbering is of bounded size."""
@@ -76,3 +80,62 @@ def shifted_events(events: DataFrame, bench: DataFrame, event_day: str, by: int,
     end = cal.agg(F.max("day")).scalar()
     on = F.least(F.col(event_day).cast("date"), end)
     return events.where(F.col(event_day).isNotNull()).join(F.broadcast(moved), on == F.col("_d")).withColumn(event_day, F.col("_moved")).drop("_d", "_moved")
+
+
+def own_bar_returns(events: DataFrame, bars: DataFrame, *, event_id: str, key: str, event_day: str, day: str, close: str, horizons: tuple[int, ...]) -> DataFrame:
+    """event_id, horizon, entry_day, exit_day, ret: from the key's first bar after the event's day to the bar ``horizon`` bars later, on
+    the key's own calendar. Events without an entry or an exit bar do not come out."""
+    b = bars.where((F.col(close) > 0) & F.col(key).isNotNull() & F.col(day).isNotNull()).groupBy(F.col(key).alias("key"), F.col(day).cast("date").alias("day")).agg(F.max(close).alias("c"))
+    b = b.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("day")))
+    e = events.select(F.col(event_id).alias("event_id"), F.col(key).alias("key"), F.col(event_day).cast("date").alias("d"))
+    e = asof_forward(e, b, key="key", left_on="d", right_on="day", values=["k", "c"], strict=True).where("k is not null")
+    e = e.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons]))).withColumn("k", F.col("k") + F.col("horizon"))
+    out = e.join(b.select("key", "k", F.col("c").alias("c1"), F.col("day").alias("exit_day")), ["key", "k"])
+    return out.select("event_id", "horizon", F.col("day_matched").alias("entry_day"), "exit_day", (F.col("c1") / F.col("c") - 1).alias("ret"))
+
+
+def _inside(windows: DataFrame, bars: DataFrame, key: str) -> DataFrame:
+    """Every bar (key, day, c) with the windows (wid, key, entry, end) that hold it; the last day is inside."""
+    iv = windows.select(F.col(key), "wid", F.col("entry").alias("_a"), F.date_add("end", 1).alias("_b"))
+    return bucketed_interval_join(bars, iv, key, "day", "_a", "_b", width=64)
+
+
+def largest_moves(windows: DataFrame, bars: DataFrame) -> DataFrame:
+    """wid, move: the largest absolute change from one bar to the key's next, both inside the window; 0 with a single bar. ``windows``:
+    wid, key, entry, end (last day); ``bars``: key, day, c (one a day)."""
+    before = Window.partitionBy("key").orderBy("day")
+    b = bars.withColumns({"_was": F.lag("c").over(before), "_on": F.lag("day").over(before)})
+    return _inside(windows, b, "key").groupBy("wid").agg(F.coalesce(F.max(F.when(F.col("_on") >= F.col("_a"), F.abs(F.col("c") / F.col("_was") - 1))), F.lit(0.0)).alias("move"))
+
+
+def _month_changes(windows: DataFrame, bars: DataFrame) -> DataFrame:
+    """wid, month, ret: change of the last bar of each month of a window against that of the month before, first against the first bar."""
+    m = _inside(windows, bars, "key").groupBy("wid", F.trunc("day", "MM").alias("month")).agg(F.max(F.struct("day", "c"))["c"].alias("c"), F.min(F.struct("day", "c"))["c"].alias("c0"))
+    w = Window.partitionBy("wid").orderBy("month")
+    return m.select("wid", "month", (F.col("c") / F.coalesce(F.lag("c").over(w), F.col("c0")) - 1).alias("ret"))
+
+
+def monthly_excess(windows: DataFrame, bars: DataFrame, bench: DataFrame) -> DataFrame:
+    """wid, month, excess: monthly returns between a window's first and last day less those of the benchmark over the same days; months
+    that one of the two lacks are left out. ``bench``: day, c."""
+    one = windows.withColumn("key", F.lit("bench"))
+    market = _month_changes(one, bench.withColumn("key", F.lit("bench"))).withColumnRenamed("ret", "market")
+    return _month_changes(windows, bars).join(market, ["wid", "month"]).select("wid", "month", (F.col("ret") - F.col("market")).alias("excess"))
+
+
+def aligned_months(a: DataFrame, b: DataFrame) -> DataFrame:
+    """month, a, b: two monthly series (month, ret) side by side, months of either kept."""
+    return a.select("month", F.col("ret").alias("a")).join(b.select("month", F.col("ret").alias("b")), "month", "full")
+
+
+def market_caps(days: DataFrame, prices: DataFrame, shares: DataFrame, splits: DataFrame, *, key: str, lag: int, stale: int = 10) -> DataFrame:
+    """``days`` (key, day) with cap, shares, shares_date, price, reason: price of the last ten days times the share count that had been
+    public for ``lag`` days, carried over the splits since. ``prices``: key, day, price; ``shares``: key, day, shares; ``splits``:
+    key, day, ratio. Reasons: NO_PRICE_AT_DATE, SHARES_NOT_YET_PUBLIC, NON_POSITIVE, OK."""
+    d = asof_backward(days, prices.withColumnRenamed("day", "_pd"), key=key, left_on="day", right_on="_pd", values=["price"], max_age=stale).drop("_pd_matched")
+    d = asof_backward(d, shares.withColumnsRenamed({"day": "_sd", "shares": "_obs"}), key=key, left_on="day", right_on="_sd", values=["_obs"], lag=lag).withColumnRenamed("_sd_matched", "shares_date")
+    later = factor_after(d.withColumn("_at", F.col("shares_date")), splits.withColumnRenamed("day", "_at"), key, "_at", "ratio").withColumnRenamed("factor", "_since")
+    d = factor_after(later, splits, key, "day", "ratio").withColumn("shares", F.col("_obs") * F.col("_since") / F.col("factor"))
+    ok = F.when(F.col("price").isNull(), "NO_PRICE_AT_DATE").when(F.col("_obs").isNull(), "SHARES_NOT_YET_PUBLIC").when(~(F.col("shares") > 0), "NON_POSITIVE").otherwise("OK")
+    d = d.withColumn("reason", ok)
+    return d.select(*days.columns, F.when(F.col("reason") == "OK", F.col("shares") * F.col("price")).alias("cap"), "shares", "shares_date", "price", "reason")
