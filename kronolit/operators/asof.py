@@ -67,14 +67,15 @@ def band_exists(left: DataFrame, right: DataFrame, *, keys: list[str], left_on:
     return left.join(hits, on, "left").select(*left.columns, F.coalesce("_hit", F.lit(False)).alias(name))
 
 
-def nearest_peer(events: DataFrame, pool: DataFrame, *, event_id: str, entity: str, at: str, size: str) -> DataFrame:
-    """event_id, peer, distance: of the pool rows of the event's day whose size is within a factor of two, the one of another
-    entity whose log size is nearest; ties go to the lower entity.
+def nearest_peer(events: DataFrame, pool: DataFrame, *, event_id: str, entity: str, at: str, size: str, factor: float | None = 2.0) -> DataFrame:
+    """event_id, peer, distance: of the pool rows of the event's day whose size is within ``factor`` (at most two; None: any
+    size), the one of another entity whose log size is nearest; ties go to the lower entity.
 
     No pair is formed. Events and pool are sorted by size inside (day, band), a band being a power of two to whose neighbours
     the pool is copied. A running window hands each event the pool row before it and, should that be of the event's own
     entity, the last one before that of another; the same downwards. Sizes that are null, NaN or not positive are no sizes.
-    One row per event that has a peer.
+    Events without a pool row in these bands meet what their day's bands begin and end with, a few rows a band. One row per
+    event that has a peer.
     """
     ok = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.col(c) > 0)
     band = F.floor(F.log2(F.col(size))).cast("int")
@@ -96,5 +97,17 @@ def nearest_peer(events: DataFrame, pool: DataFrame, *, event_id: str, entity: s
 
     near = beside(beside(both, True, "lo"), False, "hi").where(~F.col("pool"))
     d = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("y") - F.col(f"{c}.y")).alias("distance"), F.col(f"{c}.e").alias("peer")))
-    best = near.select("event_id", F.least(d("lo"), d("hi")).alias("x")).where(F.col("x").isNotNull() & (F.col("x.distance") <= math.log(2)))
-    return best.groupBy("event_id").agg(F.min("x").alias("x")).select("event_id", "x.peer", "x.distance")
+    x = near.select("event_id", F.least(d("lo"), d("hi")).alias("x")).where(F.col("x").isNotNull() & (F.col("x.distance") <= math.log(factor or 2)))
+    if factor is None:
+        p = p.select("at", "e", "y").distinct().withColumn("b", F.floor(F.col("y") / math.log(2)).cast("int"))
+        ends = []
+        for sign in (1, -1):
+            key = F.struct((F.col("y") * sign).alias("k"), "e")
+            first = p.groupBy("at", "b").agg(F.min(key).alias("one"))
+            other = p.join(first, ["at", "b"]).where(F.col("e") != F.col("one.e")).groupBy("at", "b").agg(F.min(key).alias("one"))
+            ends += [g.select("at", (F.col("one.k") * sign).alias("y"), F.col("one.e").alias("e")) for g in (first, other)]
+        day = ends[0].unionByName(ends[1]).unionByName(ends[2]).unionByName(ends[3]).groupBy("at").agg(F.collect_set(F.struct("y", "e")).alias("_all"))
+        rest = ev.join(x.select("event_id").distinct(), "event_id", "left_anti").join(day, "at")
+        far = F.array_min(F.transform(F.filter("_all", lambda c: c["e"] != F.col("e")), lambda c: F.struct(F.abs(F.col("y") - c["y"]).alias("distance"), c["e"].alias("peer"))))
+        x = x.unionByName(rest.select("event_id", far.alias("x")).where(F.col("x").isNotNull()))
+    return x.groupBy("event_id").agg(F.min("x").alias("x")).select("event_id", "x.peer", "x.distance")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kronolit.operators.asof import asof_backward, nearest_peer
 from kronolit.operators.bitemporal import link_revisions
 from kronolit.operators.chains import chase, standing
 from kronolit.operators.relational import crosstab_totals, seeded_sample
@@ -90,12 +91,31 @@ def mcap_panel(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(market_caps(days, prices, shares, splits, key="issuer_key", lag=45), 2)
 
 
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "mcap_points").where("issuer_key is not null and as_of_day is not null and mcap_sek > 0 and not isnan(mcap_sek)").select("point_id", "issuer_key", "as_of_day", "mcap_sek")
+
+
+def mcap_nearest_peers(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest issuer by market cap of the same day, however far."""
+    p = _points(spark, d)
+    n = nearest_peer(p, p, event_id="point_id", entity="issuer_key", at="as_of_day", size="mcap_sek", factor=None)
+    return _rounded(n.select(F.col("event_id").alias("point_id"), "peer", "distance"))
+
+
+def quiet_peers(spark: SparkSession, d: str) -> DataFrame:
+    """The same among issuers without a filing of the last 30 days, for points of issuers with one."""
+    p, t = _points(spark, d), table(spark, d, "register_txns").where("issuer_key is not null").select("issuer_key", F.col("published_at").cast("date").alias("day"), F.lit(1).alias("one"))
+    p = asof_backward(p, t, key="issuer_key", left_on="as_of_day", right_on="day", values=["one"], max_age=30)
+    n = nearest_peer(p.where("one is not null"), p.where("one is null"), event_id="point_id", entity="issuer_key", at="as_of_day", size="mcap_sek", factor=None)
+    return _rounded(n.select(F.col("event_id").alias("point_id"), "peer", "distance"))
+
+
 def audit_sample(spark: SparkSession, d: str) -> DataFrame:
     """Fifty filings drawn with a seed, for an audit listing."""
     return seeded_sample(table(spark, d, "register_txns").where("row_id is not null"), "row_id", 50, 7).select("row_id", "issuer_key", "published_at")
 
 
-QUERIES = {f.__name__: f for f in (event_chains, revision_chains, chain_statuses, uniform_price_groups, brand_own_bar_returns, brand_largest_moves, brand_monthly_excess, brand_month_alignment, mcap_panel, audit_sample)}
+QUERIES = {f.__name__: f for f in (event_chains, revision_chains, chain_statuses, uniform_price_groups, brand_own_bar_returns, brand_largest_moves, brand_monthly_excess, brand_month_alignment, mcap_panel, mcap_nearest_peers, quiet_peers, audit_sample)}
 
 _BARS = """
 WITH RECURSIVE bars AS (SELECT p_brand AS brand, CAST(l_shipdate AS DATE) AS day, round(avg(l_extendedprice / l_quantity) + 1e-9, 4) AS close FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 0 GROUP BY ALL),
@@ -138,5 +158,12 @@ SQL = {
     "mcap_panel": _CAPS
     + """SELECT issuer_key, day, round(CASE WHEN price IS NOT NULL AND adj > 0 THEN adj * price END, 2) AS cap, round(adj, 2) AS shares, shares_date, round(price, 2) AS price,
         CASE WHEN price IS NULL THEN 'NO_PRICE_AT_DATE' WHEN obs IS NULL THEN 'SHARES_NOT_YET_PUBLIC' WHEN NOT adj > 0 THEN 'NON_POSITIVE' ELSE 'OK' END AS reason FROM c""",
+    "mcap_nearest_peers": """WITH p AS (SELECT point_id, issuer_key, as_of_day, ln(mcap_sek) AS y FROM mcap_points WHERE issuer_key IS NOT NULL AND as_of_day IS NOT NULL AND mcap_sek > 0 AND NOT isnan(mcap_sek)),
+        j AS (SELECT a.point_id, b.issuer_key AS peer, abs(a.y - b.y) AS distance, row_number() OVER (PARTITION BY a.point_id ORDER BY abs(a.y - b.y), b.issuer_key) AS k FROM p a JOIN p b ON a.as_of_day = b.as_of_day AND a.issuer_key <> b.issuer_key)
+        SELECT point_id, peer, round(distance, 6) AS distance FROM j WHERE k = 1""",
+    "quiet_peers": """WITH p AS (SELECT point_id, issuer_key, as_of_day, ln(mcap_sek) AS y, EXISTS (SELECT 1 FROM register_txns t WHERE t.issuer_key = m.issuer_key AND CAST(t.published_at AS DATE) BETWEEN m.as_of_day - 30 AND m.as_of_day) AS active
+          FROM mcap_points m WHERE issuer_key IS NOT NULL AND as_of_day IS NOT NULL AND mcap_sek > 0 AND NOT isnan(mcap_sek)),
+        j AS (SELECT a.point_id, b.issuer_key AS peer, abs(a.y - b.y) AS distance, row_number() OVER (PARTITION BY a.point_id ORDER BY abs(a.y - b.y), b.issuer_key) AS k FROM p a JOIN p b ON a.as_of_day = b.as_of_day AND a.issuer_key <> b.issuer_key WHERE a.active AND NOT b.active)
+        SELECT point_id, peer, round(distance, 6) AS distance FROM j WHERE k = 1""",
     "audit_sample": "SELECT row_id, issuer_key, published_at FROM register_txns WHERE row_id IS NOT NULL ORDER BY md5(concat_ws('|', '7', CAST(row_id AS VARCHAR))), row_id LIMIT 50",
 }
