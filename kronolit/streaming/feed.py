@@ -39,11 +39,19 @@ def stream_window_replace(stream: DataFrame, target: str, day: str, checkpoint:
 
 
 def windowed_counts(stream: DataFrame, at: str, key: str, width: str = "30 days", late: str = "400 days") -> DataFrame:
-    """window_start, key, n: rows a tumbling window; rows later than ``late`` behind the newest are dropped with their window's state."""
+    """window_start, key, n: rows a tumbling window; a window is final ``late`` after the newest row, and rows that come later still are
+    no longer counted; ``flag_late`` keeps and marks them."""
     t = stream.withColumn("_t", F.col(at).cast("timestamp")).withWatermark("_t", late)
     return t.groupBy(F.window("_t", width).alias("w"), F.col(key).alias("key")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "key", "n")
 
 
+def flag_late(stream: DataFrame, at: str, seen: str, days: int) -> DataFrame:
+    """``stream`` with ``days_late`` (from what happened to when it was seen) and whether that is more than ``days``. No row is
+    dropped and no state is kept; where either time is null, so are both columns."""
+    gap = F.datediff(F.col(seen), F.col(at))
+    return stream.withColumn("days_late", gap).withColumn("is_late", gap > days)
+
+
 def stream_episodes(stream: DataFrame, key: str, who: str, day: str, visible: str, least: int = 3, days: int = 30, gap: int = 31, lookback: int = 365, end: str = "window") -> DataFrame:
     """key, as_of, anchor, n_persons of each episode, emitted when it is found and never withdrawn (append mode).
 
