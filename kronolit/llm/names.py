@@ -89,6 +89,13 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + p * 0.1 * (1 - jaro)
 
 
+@lru_cache(maxsize=1 << 16)
+def purpose_of(word: str, cut: bool) -> str | None:
+    """The purpose word that a word of a company's name is: itself, cut short by a point (``cut``), or mistyped."""
+    exact = next((p for p in PURPOSES if word == p or cut and len(word) > 1 and p.startswith(word)), None)
+    return exact or next((p for p in PURPOSES if len(word) > 4 and abs(len(word) - len(p)) <= (few := 1 + (len(p) > 8)) and damerau(word, p) <= few), None)
+
+
 def parse_name(text: str) -> dict:
     """What a typed name says: ``company``, ``number``, ``purpose`` (companies), ``tokens`` (as they sound, sorted, nicknames
     resolved), ``initials`` (letters that stand for a name), ``middle`` (the words or initials between first and last name).
@@ -104,7 +111,7 @@ def parse_name(text: str) -> dict:
         for w, dotted in zip(bare, raw, strict=True):
             if w.isdigit() or w in LEGAL:
                 continue
-            hit = next((p for p in PURPOSES if w == p or dotted.endswith(".") and len(w) > 1 and p.startswith(w)), None) or next((p for p in PURPOSES if len(w) > 4 and damerau(w, p) <= 1 + (len(p) > 8)), None)
+            hit = purpose_of(w, dotted.endswith("."))
             if hit is None and len(w) > 8:  # joined to the name
                 tail = next((p for p in PURPOSES if w.endswith(p) and len(w) > len(p) + 2), None)
                 if tail:
