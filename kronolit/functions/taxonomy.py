@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,13 +63,19 @@ LETTERS = [r"\bser(?:ie)?\.?\s*([a-d])\b", r"\b(?:class|klass)\s*([a-d])\b", r"\
 ISSUER_FORMS = r"\b(publ|aktiebolag|aktiebolaget|ab)\b"
 
 
+def bounded(pattern: str, left: str = r"(?<![\p{L}\p{N}_])", right: str = r"(?![\p{L}\p{N}_])") -> str:
+    """The pattern with its word boundaries written out: a word is of letters, digits and underscores of any script, and nothing that
+    joins characters unseen is part of one. A boundary before a letter or a group is a left one."""
+    return re.sub(r"\\b(?=[^\W_]|\()", lambda m: left, pattern).replace(r"\b", right)
+
+
 def plain_term(text: Column) -> Column:
     """Lower case, one kind of dash, single blanks; null is empty."""
     return F.lower(F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "–—", "--"), r"(?U)\s+", " ")))
 
 
 def _first_of(text: Column, rules: list[tuple[str, str]], flags: str = "(?U)") -> Column:
-    return F.coalesce(*[F.when(text.rlike(flags + p), name) for name, p in rules])
+    return F.coalesce(*[F.when(text.rlike(flags + bounded(p)), name) for name, p in rules])
 
 
 def _listed(text: Column, terms: dict[str, str]) -> Column:
@@ -98,9 +106,9 @@ def role_set(title: Column) -> Column:
     """The roles of a title, sorted; an employee representative is no ordinary member of the board, a chief no other executive."""
     left, found = plain_term(title), []
     for name, p in TAKEN_ROLES:
-        found.append(F.when(left.rlike("(?U)" + p), name))
-        left = F.regexp_replace(left, "(?U)" + p, " ")
-    found += [F.when(left.rlike("(?U)" + p), name) for name, p in ROLES]
+        found.append(F.when(left.rlike("(?U)" + bounded(p)), name))
+        left = F.regexp_replace(left, "(?U)" + bounded(p), " ")
+    found += [F.when(left.rlike("(?U)" + bounded(p)), name) for name, p in ROLES]
     all_ = F.array_sort(F.array_compact(F.array(*found)))
     without = lambda when, drop: F.when(F.arrays_overlap(all_, F.array(*map(F.lit, when))), F.array(*map(F.lit, drop))).otherwise(F.array().cast("array<string>"))
     return F.array_except(F.array_except(all_, without(["employee_rep"], ["board", "deputy_board"])), without(["ceo", "cfo", "deputy_ceo"], ["other_exec"]))
@@ -120,13 +128,13 @@ def share_class(name: Column) -> Column:
     t = F.trim(F.regexp_replace(F.coalesce(name, F.lit("")), r"(?U)\s+", " "))
     rest = t
     for p in (RECEIPT, PREFERENCE, *(p for _, p in HINTS)):
-        rest = F.regexp_replace(rest, "(?iuU)" + p, "")
+        rest = F.regexp_replace(rest, "(?iuU)" + bounded(p), "")
     rest = F.regexp_replace(F.regexp_replace(rest, r"\s+", " "), r"^[ ,.\-]+|[ ,.\-]+$", "")
-    letter = F.coalesce(*[F.nullif(F.upper(F.regexp_extract(t, "(?iuU)" + p, 1)), F.lit("")) for p in LETTERS], F.when(F.length(rest) > 2, F.nullif(F.regexp_extract(rest, r"\s([A-D])\z", 1), F.lit(""))))
-    return F.struct(letter.alias("share_class"), t.rlike("(?iuU)" + PREFERENCE).alias("is_pref"), t.rlike("(?iuU)" + RECEIPT).alias("is_sdr"), _first_of(t, HINTS, "(?iuU)").alias("type_hint"))
+    letter = F.coalesce(*[F.nullif(F.upper(F.regexp_extract(t, "(?iuU)" + bounded(p), 1)), F.lit("")) for p in LETTERS], F.when(F.length(rest) > 2, F.nullif(F.regexp_extract(rest, r"\s([A-D])\z", 1), F.lit(""))))
+    return F.struct(letter.alias("share_class"), t.rlike("(?iuU)" + bounded(PREFERENCE)).alias("is_pref"), t.rlike("(?iuU)" + bounded(RECEIPT)).alias("is_sdr"), _first_of(t, HINTS, "(?iuU)").alias("type_hint"))
 
 
 def issuer_short_name(name: Column) -> Column:
     """An issuer's name in lower case without its legal form and punctuation; null is empty."""
     t = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"[^\p{L}\p{N}_]", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, "(?U)" + ISSUER_FORMS, " "), " +", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(t, "(?U)" + bounded(ISSUER_FORMS), " "), " +", " "))

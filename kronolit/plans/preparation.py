@@ -74,7 +74,33 @@ r AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY published_at
         row_number() OVER (PARTITION BY record_id, op = 'U' ORDER BY published_at DESC, seq DESC) AS m FROM f),
 k AS (SELECT record_id, max(CASE WHEN n = 1 THEN feed_id END) AS feed_id FROM r GROUP BY record_id HAVING max(CASE WHEN m = 1 AND op <> 'U' THEN op END) = 'I')
 """
+# A line as the rules have it: fields that begin with a quote end at its closing one, all others at the next separator.
+_FIELD = '("([^"]|"")*"|[^";][^;]*)?'
+_BLANKS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{2007}\x{202F}]+"
+_STAMP = "([0-9]{4}-[0-9]{2}-[0-9]{2})( ([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9])?"
+
+
+def _trimmed(field: str) -> str:
+    return f"regexp_replace(regexp_replace({field}, '^{_BLANKS}', ''), '{_BLANKS}$', '')"
+
+
+def _stamped(value: str) -> str:
+    return f"(regexp_full_match({value}, '{_STAMP}') AND NOT starts_with({value}, '0000') AND try_cast(substr({value}, 1, 10) AS DATE) IS NOT NULL)"
+
+
+_LINES = f"""
+WITH l AS (SELECT line_id, raw_line, regexp_full_match(raw_line, '{_FIELD}(;{_FIELD})*') AS shut, regexp_extract_all(';' || raw_line, ';{_FIELD}') AS parts FROM raw_register WHERE raw_line IS NOT NULL),
+f AS (SELECT line_id, shut, [CASE WHEN starts_with(x, ';"') THEN replace(substr(x, 3, length(x) - 3), '""', '"') ELSE substr(x, 2) END for x in parts] AS v FROM l),
+g AS (SELECT line_id, shut, CASE WHEN len(v) = 23 AND {_trimmed("v[23]")} = '' THEN v[1:22] ELSE v END AS v FROM f),
+t AS (SELECT line_id, CASE WHEN shut IS NOT TRUE THEN 'quoting' WHEN len(v) <> 22 THEN 'column_count' END AS broken, {_trimmed("v[1]")} AS p, {_trimmed("v[16]")} AS d, {_trimmed("v[22]")} AS s, v FROM g)
+"""
+_REASONS = f"""SELECT line_id, broken AS reason FROM t WHERE broken IS NOT NULL
+UNION ALL SELECT line_id, 'published' FROM t WHERE broken IS NULL AND NOT {_stamped("p")}
+UNION ALL SELECT line_id, 'trade_date' FROM t WHERE broken IS NULL AND d <> '' AND NOT {_stamped("d")}
+UNION ALL SELECT line_id, 'status' FROM t WHERE broken IS NULL AND s NOT IN ('Aktuell', 'Reviderad', 'Makulerad', 'Current', 'Revised')
+UNION ALL SELECT line_id, 'column_count' FROM raw_register WHERE raw_line IS NULL"""
 SQL = {
+    "p3_found": _LINES + _REASONS,
     "p5_found": _RANKED + "SELECT row_id, version_id FROM b WHERE version_id <> hindsight_id",
     "p5_asof": _RANKED + """SELECT CASE WHEN t.issuer_key IS NOT NULL AND t.trade_date IS NOT NULL AND t.published_at IS NOT NULL THEN coalesce(b.version_id, 0) END AS version_id, t.row_id,
         a.valid_from, a.known_at, a.market_segment, a.size_band, a.shares_out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kronolit.functions.parsing import ascii_fold, is_entity, isin_valid, lei_valid, name_key
+from kronolit.functions.parsing import ENTITY_PARTS, ENTITY_WORDS, ascii_fold, is_entity, isin_valid, lei_valid, name_key
 from kronolit.operators import relational as rel
 from kronolit.operators.asof import asof_backward, asof_forward, band_exists, nearest_peer
 from kronolit.operators.bitemporal import Register, link_revisions, with_linked_visibility, with_visibility
@@ -362,7 +362,12 @@ def _digits(code: str) -> str:
     return f"""string_split(array_to_string(list_transform(string_split({code}, ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE CAST(ascii(c) - 55 AS VARCHAR) END), ''), '')"""
 
 
+# names of the table are in plain characters, so that NFKC changes nothing
+_ENTITY = "(" + " OR ".join([f"list_has_any(regexp_split_to_array(lower({{0}}), '[\\s,]+'), [{', '.join(repr(w) for w in ENTITY_WORDS)}])", *[f"contains(lower({{0}}), '{w}')" for w in ENTITY_PARTS]]) + ")"
 SQL = {
+    "person_keys": f"""WITH n AS (SELECT DISTINCT full_name FROM person_names), t AS (SELECT full_name, trim(regexp_replace(full_name, '\\s+', ' ', 'g')) AS x FROM n),
+        k AS (SELECT full_name, replace(lower(CASE WHEN regexp_full_match(x, '[^\\s,]+ ?, ?[^,]*[^,\\s]') AND NOT {_ENTITY.format('x')} THEN regexp_extract(x, ', ?([^,]*[^,\\s])$', 1) || ' ' || regexp_extract(x, '^([^\\s,]+)', 1) ELSE x END), 'ς', 'σ') AS name_key FROM t)
+        SELECT full_name, name_key, strip_accents(name_key) AS ascii_key, {_ENTITY.format('name_key')} AS is_entity FROM k""",
     "crosstab_source_status": """SELECT CASE WHEN grouping(r) = 1 THEN '(total)' ELSE r END AS row_value, CASE WHEN grouping(c) = 1 THEN '(total)' ELSE c END AS col_value, count(*) AS n
         FROM (SELECT coalesce(source, '(none)') AS r, coalesce(status_raw, '(none)') AS c FROM register_txns) GROUP BY CUBE (r, c)""",
     "lag_quantiles": """SELECT CAST(year(published_at) AS BIGINT) AS year, count(v) AS n, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.9), 6) AS p90, round(quantile_cont(v, 0.99), 6) AS p99
