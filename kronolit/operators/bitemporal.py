@@ -49,8 +49,9 @@ def with_visibility(rows: DataFrame, keys: list[str], published: str, amendment:
     """``rows`` with visible_from and visible_until: a row is superseded when the next amendment with equal keys (nulls are
     equal) is published after it in the order of (published, tie). ``first_publication``: visible from the first row of its keys.
     Rows without a publication time are never visible and supersede nothing."""
-    w = Window.partitionBy(*keys).orderBy(published, tie)
-    until = F.min(F.when(F.col(amendment), F.col(published))).over(w.rowsBetween(1, Window.unboundedFollowing))
+    # backwards, so that the frame of what is later grows from row to row
+    w = Window.partitionBy(*keys).orderBy(F.desc(published), F.desc(tie))
+    until = F.min(F.when(F.col(amendment), F.col(published))).over(w.rowsBetween(Window.unboundedPreceding, -1))
     start = F.when(F.col(published).isNotNull(), F.min(published).over(Window.partitionBy(*keys))) if first_publication else F.col(published)
     return rows.withColumn("visible_from", start).withColumn("visible_until", until)
 

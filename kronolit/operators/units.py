@@ -356,10 +356,12 @@ def mcap_units(points: DataFrame, fx: DataFrame) -> DataFrame:
     repeats it or is it in SEK, and the history of log ratios to price_used x shares (issuer and price_source) decides. Missing shares are taken from
     the issuer's nearest earlier point, else its nearest later one.
     """
-    w = Window.partitionBy("issuer_key").orderBy("as_of_day", "point_id")
+    # points without an issuer stand alone; the second window runs backwards, so that its frame grows from row to row
+    whose = F.coalesce("issuer_key", F.concat(F.lit("\x00"), F.col("point_id").cast("string")))
+    up = Window.partitionBy(whose).orderBy(F.asc("as_of_day"), F.asc("point_id")).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(whose).orderBy(F.desc("as_of_day"), F.desc("point_id")).rowsBetween(Window.unboundedPreceding, 0)
     shares = F.when((F.col("shares") > 0) & ~F.isnan("shares") & F.col("issuer_key").isNotNull(), F.col("shares"))
-    before = F.last(shares, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(shares, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    before, after = F.last(shares, ignorenulls=True).over(up), F.last(shares, ignorenulls=True).over(down)
     p = points.withColumn("_ref", F.coalesce(before, after) * F.when((F.col("price_used") > 0) & ~F.isnan("price_used"), F.col("price_used"))).where(F.col("mcap_sek").isNotNull())
     value, number = F.col("mcap_sek"), stated_number(F.col("mcap_text"))
     p = p.withColumn("_field", mcap_unit(F.col("mcap_unit"))).withColumn("_text", mcap_unit(F.col("mcap_text")))
