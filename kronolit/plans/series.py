@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kronolit.operators.asof import asof_backward, nearest_peer
+from kronolit.functions import taxonomy as tx
+from kronolit.operators.asof import asof_backward, band_exists, nearest_peer
 from kronolit.operators.bitemporal import link_revisions
 from kronolit.operators.chains import chase, standing
 from kronolit.operators.relational import crosstab_totals, seeded_sample
 from kronolit.operators.returns import aligned_months, largest_moves, market_caps, monthly_excess, own_bar_returns, period_returns
-from kronolit.operators.sequence import window_distinct
+from kronolit.plans.canonical import _list, _q, _re2, _term
 from kronolit.plans.market import brand_bars, brand_benchmark, brand_events
 from kronolit.plans.register import KEYS, LINK_WEIGHTS, _least_score
 from kronolit.session import checkpointed, table
@@ -43,11 +44,14 @@ def chain_statuses(spark: SparkSession, d: str) -> DataFrame:
 
 
 def uniform_price_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Days from which three or more persons of an issuer dealt in one instrument at one price within ten days."""
-    t = table(spark, d, "register_txns").where("price > 0 and issuer_key is not null and isin is not null")
-    t = t.select(F.struct("issuer_key", "isin", F.round("price", 4).alias("price")).alias("deal"), "name_key", "trade_date")
-    g = window_distinct(t, "deal", "name_key", "trade_date", 10, 3)
-    return g.select("deal.*", F.col("trade_date").alias("anchor"), F.col("n").alias("n_persons"))
+    """Purchases of three or more persons of an issuer at one price on one day, and what speaks for an issue behind them: a row off
+    the venues, or a subscription or issue instrument at that price within twenty days."""
+    t = table(spark, d, "register_txns").where("issuer_key is not null and trade_date is not null and price is not null")
+    t = t.select("row_id", "issuer_key", "name_key", "trade_date", "currency", F.round("price", 4).alias("price"), tx.txn_kind(F.col("nature_raw")).alias("kind"), tx.instrument_type(F.col("instrument_type_raw")).alias("itype"), (tx.venue_class(F.col("venue_raw")) == "off_venue").alias("off"))
+    buys = t.where("kind = 'acq_purchase' and itype = 'share'").groupBy("issuer_key", "trade_date", "price", "currency").agg(F.count_distinct("name_key").alias("n_persons"), F.max("off").alias("off_venue"), F.count("*").alias("n_rows")).where("n_persons >= 3")
+    issues = t.where((F.col("kind") == "subscription") | F.col("itype").isin("bta", "btu", "subscription_right", "interim_share"))
+    g = band_exists(buys, issues, keys=["issuer_key", "price"], left_on="trade_date", right_on="trade_date", days=20, name="issue_evidence")
+    return g.withColumn("structural", F.col("off_venue") | F.col("issue_evidence"))
 
 
 def _windows(ev: DataFrame) -> DataFrame:
@@ -134,13 +138,16 @@ b AS (SELECT a.*, sh.day AS shares_date, sh.shares AS obs FROM a ASOF LEFT JOIN
 f AS (SELECT b.issuer_key, b.day, product(sp.ratio) AS f FROM b JOIN sp ON sp.issuer_key = b.issuer_key AND sp.day > b.shares_date AND sp.day <= b.day GROUP BY ALL),
 c AS (SELECT b.*, obs * coalesce(f.f, 1) AS adj FROM b LEFT JOIN f ON f.issuer_key = b.issuer_key AND f.day = b.day)
 """
+_VENUE = "upper(trim(translate(coalesce(r.venue_raw, ''), '\u00a0', ' ')))"
 SQL = {
     "event_chains": """WITH e AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL AND event_id IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
         s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM e), c AS (SELECT event_id, new, first_value(event_id) OVER v AS root, row_number() OVER v - 1 AS hops FROM s WINDOW v AS (PARTITION BY user_id, g ORDER BY ts, event_id))
         SELECT event_id, root, hops FROM c WHERE new = 0""",
-    "uniform_price_groups": """WITH t AS (SELECT DISTINCT issuer_key, isin, round(price, 4) AS price, name_key, trade_date FROM register_txns WHERE price > 0 AND issuer_key IS NOT NULL AND isin IS NOT NULL AND name_key IS NOT NULL AND trade_date IS NOT NULL)
-        SELECT a.issuer_key, a.isin, a.price, a.trade_date AS anchor, count(DISTINCT b.name_key) AS n_persons FROM t a JOIN t b ON a.issuer_key = b.issuer_key AND a.isin = b.isin AND a.price = b.price AND b.trade_date BETWEEN a.trade_date AND a.trade_date + 10
-        GROUP BY ALL HAVING count(DISTINCT b.name_key) >= 3""",
+    "uniform_price_groups": f"""WITH t AS (SELECT r.issuer_key, r.name_key, r.trade_date, r.currency, round(r.price, 4) AS price, k.b AS kind, i.b AS itype, CASE WHEN {_VENUE} = '' THEN false ELSE regexp_matches({_VENUE}, {_q(_re2(tx.VENUES[0][1]))}, 's') END AS off FROM register_txns r
+          LEFT JOIN {_list(tx.KINDS).replace(") m(a, b)", ") k(a, b)")} ON k.a = {_term("r.nature_raw")} LEFT JOIN {_list(tx.INSTRUMENTS).replace(") m(a, b)", ") i(a, b)")} ON i.a = {_term("r.instrument_type_raw")} WHERE r.issuer_key IS NOT NULL AND r.trade_date IS NOT NULL AND r.price IS NOT NULL),
+        g AS (SELECT issuer_key, trade_date, price, currency, count(DISTINCT name_key) AS n_persons, bool_or(off) AS off_venue, count(*) AS n_rows FROM t WHERE kind = 'acq_purchase' AND itype = 'share' GROUP BY issuer_key, trade_date, price, currency HAVING count(DISTINCT name_key) >= 3),
+        e AS (SELECT g.*, EXISTS (SELECT 1 FROM t WHERE (t.kind = 'subscription' OR t.itype IN ('bta', 'btu', 'subscription_right', 'interim_share')) AND t.issuer_key = g.issuer_key AND t.price = g.price AND abs(date_diff('day', t.trade_date, g.trade_date)) <= 20) AS issue_evidence FROM g)
+        SELECT *, off_venue OR issue_evidence AS structural FROM e""",
     "brand_own_bar_returns": _BARS
     + """, b AS (SELECT brand, day, close, row_number() OVER (PARTITION BY brand ORDER BY day) AS k FROM bars WHERE close > 0), e AS (SELECT w.wid AS event_id, w.brand, min(b.k) AS k FROM w JOIN b ON b.brand = w.brand AND b.day > w.entry GROUP BY ALL)
         SELECT e.event_id, h.horizon, b0.day AS entry_day, b1.day AS exit_day, round(b1.close / b0.close - 1, 6) AS ret FROM e JOIN (VALUES (1), (21)) h(horizon) ON true JOIN b b0 ON b0.brand = e.brand AND b0.k = e.k JOIN b b1 ON b1.brand = e.brand AND b1.k = e.k + h.horizon""",

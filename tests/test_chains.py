@@ -79,3 +79,29 @@ def test_seeded_sample(spark):
     a = {x["id"] for x in seeded_sample(df, "id", 50, 3).collect()}
     assert a == {x["id"] for x in seeded_sample(df.repartition(7), "id", 50, 3).collect()} and len(a) == 50
     assert a != {x["id"] for x in seeded_sample(df, "id", 50, 4).collect()}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_uniform_prices(spark, tmp_path, seed):
+    """Against the query's SQL on invented filings that do form groups."""
+    import duckdb
+
+    from kronolit.plans import series
+
+    r, day = random.Random(seed), dt.date(2024, 1, 1)
+    rows = [
+        (i, r.choice(["a", "b", None]), r.choice([*"pqrst", None]), day + dt.timedelta(days=r.choice([0, 0, 5, 30, 60])), r.choice([1.0, 1.0, 2.5, None]), r.choice(["SEK", None]), r.choice(["Förvärv", "Förvärv", "förvärv ", "Teckning", "Avyttring"]), r.choice(["Aktie", "Aktie", "Teckningsrätt", None]), r.choice(["NASDAQ STOCKHOLM AB", "NASDAQ STOCKHOLM AB", "Utanför handelsplats", None]))
+        for i in range(400)
+    ]
+    rows += [(500 + i, "z", p, day, 9.0, "SEK", "Förvärv", "Aktie", "NASDAQ STOCKHOLM AB") for i, p in enumerate("pqr")]
+    schema = "row_id long, issuer_key string, name_key string, trade_date date, price double, currency string, nature_raw string, instrument_type_raw string, venue_raw string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/register_txns.parquet")
+    df = series.uniform_price_groups(spark, str(tmp_path))
+    cols = sorted(df.columns)
+    got = sorted(repr(tuple(x[c] for c in cols)) for x in df.collect())
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW register_txns AS SELECT * FROM '{tmp_path}/register_txns.parquet/*.parquet'")
+    cur = c.execute(series.SQL["uniform_price_groups"])
+    at = [[x[0] for x in cur.description].index(k) for k in cols]
+    assert got == sorted(repr(tuple(x[i] for i in at)) for x in cur.fetchall()) and len(got) > 5
+    assert {x["structural"] for x in df.collect()} == {True, False}
