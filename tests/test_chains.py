@@ -91,9 +91,9 @@ def test_uniform_prices(spark, tmp_path, seed):
     r, day = random.Random(seed), dt.date(2024, 1, 1)
     rows = [
         (i, r.choice(["a", "b", None]), r.choice([*"pqrst", None]), day + dt.timedelta(days=r.choice([0, 0, 5, 30, 60])), r.choice([1.0, 1.0, 2.5, None]), r.choice(["SEK", None]), r.choice(["Förvärv", "Förvärv", "förvärv ", "Teckning", "Avyttring"]), r.choice(["Aktie", "Aktie", "Teckningsrätt", None]), r.choice(["NASDAQ STOCKHOLM AB", "NASDAQ STOCKHOLM AB", "Utanför handelsplats", None]))
-        for i in range(400)
+        for i in range(1500)
     ]
-    rows += [(500 + i, "z", p, day, 9.0, "SEK", "Förvärv", "Aktie", "NASDAQ STOCKHOLM AB") for i, p in enumerate("pqr")]
+    rows += [(5000 + i, "z", p, day, 9.0, "SEK", "Förvärv", "Aktie", "NASDAQ STOCKHOLM AB") for i, p in enumerate("pqr")]
     schema = "row_id long, issuer_key string, name_key string, trade_date date, price double, currency string, nature_raw string, instrument_type_raw string, venue_raw string"
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/register_txns.parquet")
     df = series.uniform_price_groups(spark, str(tmp_path))
