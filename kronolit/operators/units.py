@@ -140,7 +140,7 @@ def _costed(units: list[str], sigma: float, wide: float | None, penalty: float)
             cost = point_costs(np.where(known, y, 0.0), -np.where(np.isfinite(level), level, 1e6), prior, sigma, CAP, wide)
             sure = sure_points(cost, penalty) | ~known
             spread = (pdf["id"] % 4096).astype(str)  # rows without a history go anywhere
-            some = pdf[["kind", "id", "value", "day"]].assign(unit=pdf["stated"], sek=worth[:, 0], hist=pdf["hist"].where(known, None), part=pdf["part"].where(known, spread), sure=sure, cost=None, worth=None)
+            some = pdf[["kind", "id", "value", "day"]].assign(unit=pdf["stated"], sek=worth[:, 0], hist=pdf["hist"].where(known, None), part=pdf["part"].where(known, spread), known=known, sure=sure, cost=None, worth=None)
             at = np.flatnonzero(~sure)
             for name, x in (("cost", cost), ("worth", worth)):
                 column = np.empty(n, dtype=object)
@@ -389,11 +389,11 @@ def _judged(t: DataFrame, fx: DataFrame, units: list[str], sigma: float, wide: f
     hist = F.when(F.col("issuer_key").isNotNull() & F.col("day").isNotNull(), F.concat_ws("|", "issuer_key", "source"))
     t = t.select("kind", "id", "value", "day", hist.alias("hist"), F.date_format("day", "yyyy-MM").alias("part"), "y", "stated", "firm", *[f"fx_{c}" for c in CURRENCIES])
     kinds = ", ".join(f"{c} {k}" for c, k in t.select("kind", "id", "value", "day").dtypes) + ", unit string, sek double"
-    t = t.mapInPandas(_costed(units, sigma, wide, penalty), kinds + ", hist string, part string, sure boolean, cost array<double>, worth array<double>")
+    t = t.mapInPandas(_costed(units, sigma, wide, penalty), kinds + ", hist string, part string, known boolean, sure boolean, cost array<double>, worth array<double>")
     w = Window.partitionBy("hist", "part").orderBy("day", "id")
     h = t.repartition("hist", "part").withColumns({"cut": F.coalesce(F.lag("sure").over(w), F.lit(False)), "stop": F.coalesce(F.lead("sure").over(w), F.lit(False)), "nth": F.row_number().over(w)})
-    # both readers of h ask for the same columns, so that its shuffle is done once
+    # both readers of h ask for the same columns and neither for a condition on hist, so that its shuffle is done once
     m, order = len(units) + 1, ["hist", "part", "day", "id"]
-    sums = h.where("hist is not null and (not sure or nth = 1)").sortWithinPartitions(*order).mapInPandas(_summaries(m, penalty), "hist string, part string, head array<double>, tail array<double>")
+    sums = h.where("known and (not sure or nth = 1)").sortWithinPartitions(*order).mapInPandas(_summaries(m, penalty), "hist string, part string, head array<double>, tail array<double>")
     ends = sums.repartition("hist").sortWithinPartitions("hist", "part").mapInPandas(_chain(m), "hist string, part string, first int, last int")
     return h.join(ends, ["hist", "part"], "left").sortWithinPartitions(*order).mapInPandas(_deciding(units, penalty), kinds)
