@@ -42,8 +42,11 @@ def _first(text: Column, words: dict[str, list[str]]) -> Column:
 
 
 def price_unit(text: Column) -> Column:
-    """The unit that a currency field or a piece of a note names; null if none. A bare "kr" is SEK, GBp (with a small p) pence."""
-    return F.when(text.rlike(r"(?<!\p{L})GBp(?!\p{L})"), "GBX").otherwise(_first(text, PRICE_WORDS))
+    """The unit that a currency field or a piece of a note names; null if none. A bare "kr" is SEK, GBp (with a small p) pence.
+
+    A field that is a code as it stands, as most are, needs no search."""
+    codes = [u for u in ("SEK", "EUR", "USD", "NOK", "DKK", "GBP", "CHF", "GBX") if u.lower() in PRICE_WORDS[u]]
+    return F.when(text.isin(*codes), text).when(text.rlike(r"(?<!\p{L})GBp(?!\p{L})"), "GBX").otherwise(_first(text, PRICE_WORDS))
 
 
 def mcap_unit(text: Column) -> Column:
@@ -82,6 +85,8 @@ def plain(text: Column) -> Column:
     t = F.regexp_replace(text, r"[̀-ͯ\p{Cf}]", "")
     t = F.translate(t, wide + LOOK[0], "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + LOOK[1])
     t = F.regexp_replace(F.regexp_replace(t, r"[\p{Z}\s]+", " "), r"\p{Pd}", "-")
+    # most texts are of plain letters and single blanks already
+    t = F.when(text.rlike(r"^[ -~åäöÅÄÖéÉ]*\z") & ~text.contains("  "), text).otherwise(t)
     return F.translate(F.lower(F.trim(t)), "åäáàâöøóòôéèêëüúñ", "aaaaaoooooeeeeuun")
 
 
