@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kronolit.llm.tokens import blocks
-from kronolit.session import checkpointed
+from kronolit.session import checkpointed, stored
 
 #: Characters of a shared span, and of the window whose hash is counted (a token is a character).
 SPAN, GRAM = 160, 64
@@ -204,7 +204,7 @@ class SharedSpans:
         long = base.where(F.col("doc").isNotNull() & (F.length("text") >= span)).withColumn("tid", F.xxhash64("text"))
         self.lengths = base.select("doc", F.length("text").alias("n_chars"))
         self.members_ = long.select("tid", "doc", F.length("text").alias("n")).distinct()
-        rows = long.select("tid", "text").mapInArrow(_anchor_rows(span, gram), "hash long, tid long, pos int")
+        rows = stored(long.select("tid", "text").mapInArrow(_anchor_rows(span, gram), "hash long, tid long, pos int"))  # hashed once, read twice
         occ = checkpointed(rows.join(shared_keys(rows, "hash", "tid"), "hash", "left_semi").distinct())
         one = self.members_.groupBy("tid").agg(F.min("doc").alias("doc"))
         wanted = occ.groupBy("tid").agg(F.collect_list(F.struct("hash", "pos")).alias("occ")).join(one, "tid")
