@@ -27,6 +27,11 @@ class Register:
         ok = (F.col(self.visible_from) <= as_of) & (F.col(self.visible_until).isNull() | (F.col(self.visible_until) > as_of))
         return self.rows.where(ok if since is None else ok & (F.col(self.valid) >= since))
 
+    def timeline(self, entity: Column | None = None) -> DataFrame:
+        """The rows that were visible at some time, of one entity or of all, in order of appearing."""
+        ever = F.col(self.visible_from).isNotNull() & (F.col(self.visible_until).isNull() | (F.col(self.visible_until) > F.col(self.visible_from)))
+        return self.rows.where(ever if entity is None else ever & (F.col(self.entity) == entity)).orderBy(self.entity, self.visible_from)
+
     def daily_for(self, events: DataFrame, event_day: str, lookback: int, measures: dict[str, str]) -> DataFrame:
         """Each (entity, event_day) with n_rows, first_day, last_day and the sums ``measures`` (name -> column) of the rows
         visible at the end of that day whose valid day lies in the ``lookback`` days before it.

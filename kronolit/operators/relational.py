@@ -64,3 +64,25 @@ def first_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int
 def seeded_sample(df: DataFrame, row_id: str, n: int, seed: int) -> DataFrame:
     """``n`` rows in the order of a hash of seed and id: the same rows wherever and however often the table is read."""
     return df.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col(row_id).cast("string"))), row_id).limit(n)
+
+
+def calendar_pattern(rows: DataFrame, keys: list[str], day: str, as_of: Column, blocks: int = 3, length: int = 365) -> DataFrame:
+    """keys, label: how a key's days lie in the ``blocks`` stretches of ``length`` days before ``as_of``: ``novel`` (none), ``sparse`` (not
+    in all), ``routine`` (one calendar month in all), else ``opportunistic``. A key holds at most twelve months a stretch. Null days
+    count as none, null keys are keys."""
+    age = F.datediff(as_of, F.col(day))
+    r = rows.select(*keys, F.month(day).alias("_m"), F.when((age > 0) & (age < blocks * length), F.floor(age / length).cast("int")).alias("_b"))
+    g = r.groupBy(*keys).agg(*[F.collect_set(F.when(F.col("_b") == b, F.col("_m"))).alias(f"_s{b}") for b in range(blocks)])
+    sets = [F.col(f"_s{b}") for b in range(blocks)]
+    common, some, all_ = sets[0], F.lit(False), F.lit(True)
+    for x in sets:
+        common, some, all_ = F.array_intersect(common, x), some | (F.size(x) > 0), all_ & (F.size(x) > 0)
+    return g.select(*keys, F.when(~some, "novel").when(~all_, "sparse").when(F.size(common) > 0, "routine").otherwise("opportunistic").alias("label"))
+
+
+def median_between(df: DataFrame, value: str, low: float, high: float) -> float:
+    """The median of a column, which has to lie strictly between two bounds, as a series the right way up does."""
+    m = df.agg(F.percentile(F.col(value), F.lit(0.5))).first()[0]
+    if m is None or not low < m < high:
+        raise ValueError(f"median of {value} is {m}, not between {low} and {high}")
+    return m

@@ -133,7 +133,7 @@ def detect_episodes(rows: DataFrame, key: str, who: str, day: str, visible: str,
 
     Instants are processed in order of ``visible``; at each, the rows of the last ``lookback`` days that are visible then are
     searched for the earliest window; a new episode's anchor lies ``gap`` days or more after the end of the last episode. That
-    end is the last day inside the found window (``end="last"``, the reference's rule) or anchor + ``days`` (``end="window"``).
+    end is the last day inside the found window (``end="last"``) or anchor + ``days`` (``end="window"``).
     Repeated (key, person, day) count from their first visibility. Rows stream through in order; kept are only those of one
     lookback that come after the last window and form none, which are fewer than ``least`` persons in any window. Keys with fewer
     than ``least`` persons in all are dropped before. Nulls in any of the four columns are left out.

@@ -173,7 +173,7 @@ def crowd_episodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _least_score() -> Column:
-    """A row that still stands as current asks for more than one marked as revised (MIN_SCORE_STALE, MIN_SCORE of the reference)."""
+    """A row that still stands as current asks for more than one marked as revised (5 and 2)."""
     return F.when(F.col("status_raw").isin("Aktuell", "Current"), 5.0).otherwise(2.0)
 
 

@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kronolit.functions import taxonomy as tx
+from kronolit.functions.parsing import band_label, isin_valid, recency_label
 from kronolit.operators.asof import asof_backward, band_exists, nearest_peer
 from kronolit.operators.bitemporal import link_revisions
 from kronolit.operators.chains import chase, standing
-from kronolit.operators.relational import crosstab_totals, seeded_sample
+from kronolit.operators.relational import calendar_pattern, crosstab_totals, most_frequent, seeded_sample
 from kronolit.operators.returns import aligned_months, largest_moves, market_caps, monthly_excess, own_bar_returns, period_returns
 from kronolit.plans.canonical import _list, _q, _re2, _term
 from kronolit.plans.market import brand_bars, brand_benchmark, brand_events
-from kronolit.plans.register import KEYS, LINK_WEIGHTS, _least_score
+from kronolit.plans.register import KEYS, LINK_WEIGHTS, SQL as REGISTER_SQL, _least_score
 from kronolit.session import checkpointed, table
 
 
@@ -114,12 +115,50 @@ def quiet_peers(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(n.select(F.col("event_id").alias("point_id"), "peer", "distance"))
 
 
+def share_isins(spark: SparkSession, d: str) -> DataFrame:
+    """Each share's ISIN with the issuer that most rows name and the first and last day it was dealt in."""
+    t = table(spark, d, "register_txns").where((tx.instrument_type(F.col("instrument_type_raw")) == "share") & isin_valid(F.col("isin")))
+    own = most_frequent(t, "isin", "issuer_key", "issuer_key").select("isin", "issuer_key", F.col("n").alias("n_of_issuer"))
+    all_ = t.groupBy("isin").agg(F.count("*").alias("n_rows"), F.min("trade_date").alias("first_day"), F.max("trade_date").alias("last_day"))
+    return all_.join(own, "isin", "left")
+
+
+def trade_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """Persons of an issuer by whether they deal in the same month every year."""
+    t = table(spark, d, "register_txns").where("issuer_key is not null and name_key is not null")
+    return calendar_pattern(t, ["issuer_key", "name_key"], "trade_date", F.lit("2025-06-30").cast("date"))
+
+
+def days_since_point(spark: SparkSession, d: str) -> DataFrame:
+    """How long before each filing's trade the issuer's last market cap point lies."""
+    p = table(spark, d, "mcap_points").where("as_of_day is not null").select("issuer_key", "as_of_day", F.lit(1).alias("one"))
+    t = table(spark, d, "register_txns").select("row_id", "issuer_key", "trade_date")
+    a = asof_backward(t, p, key="issuer_key", left_on="trade_date", right_on="as_of_day", values=["one"])
+    days = F.datediff("trade_date", "as_of_day_matched")
+    return a.select("row_id", days.alias("days"), recency_label(days, 30).alias("label"))
+
+
+def register_prices(spark: SparkSession, d: str) -> DataFrame:
+    """The median price of a day's rows of an ISIN in kronor, of those on a venue, else of those off it, to four places; the 1e-9
+    keeps ties apart in every engine."""
+    t = table(spark, d, "register_txns").where("currency = 'SEK' and price > 0 and isin is not null and trade_date is not null")
+    on = tx.on_venue(tx.venue_class(F.col("venue_raw")))
+    g = t.groupBy("isin", "trade_date").agg(F.percentile(F.when(on, F.col("price")), F.lit(0.5)).alias("a"), F.percentile(F.when(~on, F.col("price")), F.lit(0.5)).alias("b"))
+    return _rounded(g.select("isin", "trade_date", (F.coalesce("a", "b") + 1e-9).alias("price"), F.when(F.col("a").isNotNull(), "register_onvenue").otherwise("register_offvenue").alias("price_source")), 4)
+
+
+def cap_bands(spark: SparkSession, d: str) -> DataFrame:
+    """Market cap points by band of shares times price, in billions of kronor."""
+    cap = F.col("shares") * F.col("price_used") / 1e9
+    return table(spark, d, "mcap_points").groupBy(band_label(cap, 1.0, 10.0, ("small", "middle", "large")).alias("band")).agg(F.count("*").alias("n"))
+
+
 def audit_sample(spark: SparkSession, d: str) -> DataFrame:
     """Fifty filings drawn with a seed, for an audit listing."""
     return seeded_sample(table(spark, d, "register_txns").where("row_id is not null"), "row_id", 50, 7).select("row_id", "issuer_key", "published_at")
 
 
-QUERIES = {f.__name__: f for f in (event_chains, revision_chains, chain_statuses, uniform_price_groups, brand_own_bar_returns, brand_largest_moves, brand_monthly_excess, brand_month_alignment, mcap_panel, mcap_nearest_peers, quiet_peers, audit_sample)}
+QUERIES = {f.__name__: f for f in (event_chains, revision_chains, chain_statuses, uniform_price_groups, brand_own_bar_returns, brand_largest_moves, brand_monthly_excess, brand_month_alignment, mcap_panel, mcap_nearest_peers, quiet_peers, share_isins, trade_patterns, days_since_point, register_prices, cap_bands, audit_sample)}
 
 _BARS = """
 WITH RECURSIVE bars AS (SELECT p_brand AS brand, CAST(l_shipdate AS DATE) AS day, round(avg(l_extendedprice / l_quantity) + 1e-9, 4) AS close FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 0 GROUP BY ALL),
@@ -172,5 +211,18 @@ SQL = {
           FROM mcap_points m WHERE issuer_key IS NOT NULL AND as_of_day IS NOT NULL AND mcap_sek > 0 AND NOT isnan(mcap_sek)),
         j AS (SELECT a.point_id, b.issuer_key AS peer, abs(a.y - b.y) AS distance, row_number() OVER (PARTITION BY a.point_id ORDER BY abs(a.y - b.y), b.issuer_key) AS k FROM p a JOIN p b ON a.as_of_day = b.as_of_day AND a.issuer_key <> b.issuer_key WHERE a.active AND NOT b.active)
         SELECT point_id, peer, round(distance, 6) AS distance FROM j WHERE k = 1""",
+    "share_isins": f"""WITH v AS ({REGISTER_SQL["isin_checks"]}), t AS (SELECT r.* FROM register_txns r JOIN v ON v.row_id = r.row_id AND v.valid JOIN {_list(tx.INSTRUMENTS)} ON m.a = {_term("r.instrument_type_raw")} AND m.b = 'share'),
+        c AS (SELECT isin, issuer_key, count(*) AS n FROM t WHERE issuer_key IS NOT NULL GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY isin ORDER BY n DESC, issuer_key) AS k FROM c),
+        a AS (SELECT isin, count(*) AS n_rows, min(trade_date) AS first_day, max(trade_date) AS last_day FROM t GROUP BY isin) SELECT a.isin, a.n_rows, a.first_day, a.last_day, o.issuer_key, o.n AS n_of_issuer FROM a LEFT JOIN o ON o.isin = a.isin AND o.k = 1""",
+    "trade_patterns": """WITH t AS (SELECT issuer_key, name_key, month(trade_date) AS m, date_diff('day', trade_date, DATE '2025-06-30') AS age FROM register_txns WHERE issuer_key IS NOT NULL AND name_key IS NOT NULL),
+        b AS (SELECT *, CASE WHEN age > 0 AND age < 1095 THEN age // 365 END AS b FROM t),
+        k AS (SELECT issuer_key, name_key, count(DISTINCT b) AS n FROM b GROUP BY ALL), c AS (SELECT DISTINCT issuer_key, name_key FROM (SELECT issuer_key, name_key, m FROM b WHERE b IS NOT NULL GROUP BY ALL HAVING count(DISTINCT b) = 3))
+        SELECT k.issuer_key, k.name_key, CASE WHEN n = 0 THEN 'novel' WHEN n < 3 THEN 'sparse' WHEN c.issuer_key IS NOT NULL THEN 'routine' ELSE 'opportunistic' END AS label FROM k LEFT JOIN c ON c.issuer_key = k.issuer_key AND c.name_key = k.name_key""",
+    "days_since_point": """WITH p AS (SELECT DISTINCT issuer_key, as_of_day FROM mcap_points WHERE as_of_day IS NOT NULL AND issuer_key IS NOT NULL), a AS (SELECT t.row_id, date_diff('day', p.as_of_day, t.trade_date) AS days FROM register_txns t ASOF LEFT JOIN p ON p.issuer_key = t.issuer_key AND t.trade_date >= p.as_of_day)
+        SELECT row_id, CAST(days AS INTEGER) AS days, CASE WHEN days IS NULL OR days > 200 THEN 'UNKNOWN' WHEN days <= 30 THEN 'IN_WINDOW' ELSE 'OUTSIDE' END AS label FROM a""",
+    "register_prices": f"""WITH t AS (SELECT r.*, {_VENUE} <> '' AND NOT regexp_matches({_VENUE}, {_q(_re2(tx.VENUES[0][1]))}, 's') AS on_v FROM register_txns r WHERE currency = 'SEK' AND price > 0 AND isin IS NOT NULL AND trade_date IS NOT NULL),
+        g AS (SELECT isin, trade_date, quantile_cont(CASE WHEN on_v THEN price END, 0.5) AS a, quantile_cont(CASE WHEN NOT on_v THEN price END, 0.5) AS b FROM t GROUP BY ALL)
+        SELECT isin, trade_date, round(coalesce(a, b) + 1e-9, 4) AS price, CASE WHEN a IS NOT NULL THEN 'register_onvenue' ELSE 'register_offvenue' END AS price_source FROM g""",
+    "cap_bands": """SELECT CASE WHEN x < 1 THEN 'small' WHEN x < 10 THEN 'middle' WHEN x >= 10 THEN 'large' END AS band, count(*) AS n FROM (SELECT CASE WHEN isfinite(shares * price_used) THEN shares * price_used / 1e9 END AS x FROM mcap_points) GROUP BY band""",
     "audit_sample": "SELECT row_id, issuer_key, published_at FROM register_txns WHERE row_id IS NOT NULL ORDER BY md5(concat_ws('|', '7', CAST(row_id AS VARCHAR))), row_id LIMIT 50",
 }

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kronolit.functions import taxonomy as tx
-from kronolit.functions.parsing import associate_kind, is_entity, is_natural_person, name_key, tidy
+from kronolit.functions.parsing import associate_kind, band_label, is_entity, is_natural_person, name_key, present, recency_label, slug, tidy
 
 
 def ask(spark, f, values):
@@ -52,3 +52,24 @@ def test_names(spark):
     df = spark.createDataFrame([("Anna Ek", "Ek, Anna"), ("Ek AB", "Anna Ek"), ("Bo Ek", "Anna Ek"), (None, ""), (None, "Anna Ek")], "n string, p string")
     got = [r["x"] for r in df.select(associate_kind(F.col("n"), name_key(F.col("n")), name_key(F.col("p"))).alias("x")).collect()]
     assert got == ["self", "vehicle", "family", "self", "family"]
+
+
+def test_small_functions(spark):
+    assert ask(spark, present, ["a", "", None, " "]) == [True, False, False, True]
+    assert ask(spark, slug, ["Bolag & Co. (publ)", "--x--", "Å", None, "a" * 50]) == ["bolag-co-publ", "x", "", None, "a" * 40]
+    df = spark.createDataFrame([(0, 1.0), (1, 5.0), (2, 10.0), (3, float("nan")), (4, None), (5, float("inf"))], "i int, v double")
+    assert [r["x"] for r in df.select("i", band_label(F.col("v"), 5, 10, ("a", "b", "c")).alias("x")).orderBy("i").collect()] == ["a", "b", "c", None, None, None]
+    days = spark.createDataFrame([(0, 0), (1, 30), (2, 31), (3, 200), (4, 201), (5, None)], "i int, d int")
+    assert [r["x"] for r in days.select("i", recency_label(F.col("d"), 30).alias("x")).orderBy("i").collect()] == ["IN_WINDOW", "IN_WINDOW", "OUTSIDE", "OUTSIDE", "UNKNOWN", "UNKNOWN"]
+
+
+def test_median_between(spark):
+    from kronolit.operators.relational import median_between
+
+    df = spark.createDataFrame([(9.0,), (10.0,), (500.0,), (None,)], "rate double")
+    assert median_between(df, "rate", 4, 20) == 10.0
+    for low, high in ((4, 10), (10, 20)):
+        with pytest.raises(ValueError):
+            median_between(df, "rate", low, high)
+    with pytest.raises(ValueError):
+        median_between(df.where("rate < 0"), "rate", 4, 20)
