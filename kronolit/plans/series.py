@@ -86,14 +86,15 @@ def brand_month_alignment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mcap_panel(spark: SparkSession, d: str) -> DataFrame:
-    """The market cap of each issuer in the middle of each month, from prices and share counts known then."""
+    """The market cap of each issuer in the middle of each month, from prices (to four places) and share counts known then."""
     p = table(spark, d, "mcap_points").where("issuer_key is not null and as_of_day is not null")
     prices = p.where("price_used > 0").groupBy("issuer_key", F.col("as_of_day").alias("day")).agg(F.max("price_used").alias("price"))
     shares = p.where("shares > 0").groupBy("issuer_key", F.col("as_of_day").alias("day")).agg(F.max("shares").alias("shares"))
     prev = F.lag("shares").over(Window.partitionBy("issuer_key").orderBy("day"))
     splits = shares.select("issuer_key", "day", (F.col("shares") / prev).alias("ratio")).where("ratio >= 1.5 or ratio <= 0.6")
     days = p.select("issuer_key", F.date_add(F.trunc("as_of_day", "MM"), 14).alias("day")).distinct()
-    return _rounded(market_caps(days, prices, shares, splits, key="issuer_key", lag=45), 2)
+    caps = market_caps(days, prices, shares, splits, key="issuer_key", lag=45)
+    return caps.withColumns({"cap": F.round("cap", 0), "shares": F.round("shares", 2), "price": F.round("price", 4)})
 
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
@@ -202,7 +203,7 @@ SQL = {
     + """, m AS (SELECT brand, CAST(date_trunc('month', day) AS DATE) AS month, max_by(close, day) AS c FROM bars WHERE close > 0 GROUP BY ALL), r AS (SELECT brand, month, c / lag(c) OVER (PARTITION BY brand ORDER BY month) - 1 AS r FROM m),
         a AS (SELECT month, r FROM r WHERE brand = 'Brand#11' AND r IS NOT NULL), b AS (SELECT month, r FROM r WHERE brand = 'Brand#12' AND r IS NOT NULL AND month(month) <> 2) SELECT coalesce(a.month, b.month) AS month, round(a.r, 6) AS a, round(b.r, 6) AS b FROM a FULL JOIN b ON a.month = b.month""",
     "mcap_panel": _CAPS
-    + """SELECT issuer_key, day, round(CASE WHEN price IS NOT NULL AND adj > 0 THEN adj * price END, 2) AS cap, round(adj, 2) AS shares, shares_date, round(price, 2) AS price,
+    + """SELECT issuer_key, day, round(CASE WHEN price IS NOT NULL AND adj > 0 THEN adj * price END, 0) AS cap, round(adj, 2) AS shares, shares_date, round(price, 4) AS price,
         CASE WHEN price IS NULL THEN 'NO_PRICE_AT_DATE' WHEN obs IS NULL THEN 'SHARES_NOT_YET_PUBLIC' WHEN NOT adj > 0 THEN 'NON_POSITIVE' ELSE 'OK' END AS reason FROM c""",
     "mcap_nearest_peers": """WITH p AS (SELECT point_id, issuer_key, as_of_day, ln(mcap_sek) AS y FROM mcap_points WHERE issuer_key IS NOT NULL AND as_of_day IS NOT NULL AND mcap_sek > 0 AND NOT isnan(mcap_sek)),
         j AS (SELECT a.point_id, b.issuer_key AS peer, abs(a.y - b.y) AS distance, row_number() OVER (PARTITION BY a.point_id ORDER BY abs(a.y - b.y), b.issuer_key) AS k FROM p a JOIN p b ON a.as_of_day = b.as_of_day AND a.issuer_key <> b.issuer_key)

@@ -6,7 +6,7 @@ from kronolit.operators.changes import newest_first
 from kronolit.operators.identity import apply_rules, merge_rules
 from kronolit.operators.sequence import detect_episodes
 from kronolit.sources.fetch import BudgetSpent, ExportFull, WindowFetcher
-from kronolit.streaming.feed import current_state, stream_changes, stream_episodes, stream_window_replace, windowed_counts
+from kronolit.streaming.feed import current_state, flag_late, stream_changes, stream_episodes, stream_window_replace, windowed_counts
 
 ORDER = {"key": "record_id", "order": ["published_at", "seq"], "delivery": "feed_id", "op": "op"}
 
@@ -78,3 +78,15 @@ def test_fetcher():
         raise AssertionError
     except BudgetSpent:
         pass
+
+
+def test_late_rows_are_kept_and_marked(spark, tmp_path):
+    d = dt.date
+    rows = [(1, d(2024, 1, 1), d(2024, 1, 3)), (2, d(2024, 1, 1), d(2024, 3, 1)), (3, None, d(2024, 1, 1)), (4, d(2024, 1, 5), d(2024, 1, 4))]
+    df = spark.createDataFrame(rows, "i int, at date, seen date")
+    want = {1: (2, False), 2: (60, True), 3: (None, None), 4: (-1, False)}
+    assert {r["i"]: (r["days_late"], r["is_late"]) for r in flag_late(df, "at", "seen", 30).collect()} == want
+    df.write.parquet(f"{tmp_path}/in")
+    stream = flag_late(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), "at", "seen", 30)
+    stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    assert {r["i"]: (r["days_late"], r["is_late"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == want
